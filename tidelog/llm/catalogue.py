@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import mixing, sharding, urls
+from tidelog.llm import covertree, language, mixing, pieces, sharding, topk, toxicity, urls
 from tidelog.llm.common import table
 
 SHARD_BYTES = 1 << 20
+#: The vocabulary file of operators 6 and 9, on the driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk(table(spark, sf_dir, "embeddings"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +27,38 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+
+
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) as x from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT as score
+  from v q join v on q.vec_id <> v.vec_id and len(q.x) = len(v.x) where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::INTEGER as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 OP7_SQL = f"""
 with d as (
   select doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT as bytes,
@@ -42,8 +76,13 @@ select doc_id, bytes, substr(lpad(bin(h), 64, '0'), 1, depth) as shard, depth fr
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
     "op4_url_filters": op4_url_filters,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_sharding": op7_sharding,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLE: dict[str, str] = {"op7_sharding": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_topk": OP2_SQL, "op7_sharding": OP7_SQL}
