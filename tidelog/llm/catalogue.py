@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import covertree, language, mixing, pieces, sharding, topk, toxicity, urls
+from tidelog.llm import covertree, language, lines, minhash, mixing, pieces, sharding, topk, toxicity, urls
 from tidelog.llm.common import table
 
 SHARD_BYTES = 1 << 20
@@ -15,6 +15,10 @@ SHARD_BYTES = 1 << 20
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) as x from embeddings
@@ -76,6 +84,7 @@ select doc_id, bytes, substr(lpad(bin(h), 64, '0'), 1, depth) as shard, depth fr
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
     "op4_url_filters": op4_url_filters,
@@ -84,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_minhash": op10_minhash,
 }
 ORACLE: dict[str, str] = {"op2_topk": OP2_SQL, "op7_sharding": OP7_SQL}
