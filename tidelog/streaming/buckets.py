@@ -33,8 +33,8 @@ def decide(requests: DataFrame, bucket: str, at: str, order: str, b: Bucket) ->
     tokens = f"least({b.tokens}L, s.tokens + ({whole}) * {b.refill_amount})"
     fold = f"""aggregate(r, named_struct('last', r[0].t, 'tokens', {b.tokens}L, 'out', cast(array() as array<boolean>)),
         (s, x) -> named_struct('last', s.last + ({whole}) * {b.refill_seconds}, 'tokens', greatest(0L, {tokens} - 1), 'out', concat(s.out, array({tokens} > 0))), s -> s.out)"""
-    d = r.select(bucket, F.explode(F.expr(f"arrays_zip(r.o, {fold})")).alias("x"))
-    return d.select(bucket, F.col("x.0").alias(order), F.col("x.1").alias("allowed"))
+    d = r.select(bucket, F.explode(F.expr(f"zip_with(r, {fold}, (x, y) -> named_struct('o', x.o, 'allowed', y))")).alias("x"))
+    return d.select(bucket, F.col("x.o").alias(order), F.col("x.allowed").alias("allowed"))
 
 
 def decide_large(requests: DataFrame, bucket: str, at: str, order: str, b: Bucket) -> DataFrame:
