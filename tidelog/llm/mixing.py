@@ -110,11 +110,14 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each row of ``docs`` as often as its words are taken,
-    rounded to whole copies; rows of which none are taken go. Columns as given."""
+    """The mix as documents: each row of ``docs`` as often as its words are taken.
+    A part of a copy becomes a whole one with that part as its probability, by
+    seeded hash, so sources keep their shares; rows of which none are taken go.
+    Columns as given."""
     names = docs.columns
     key = [F.coalesce("doc_id", F.lit(-(1 << 62))).alias("__d"), F.coalesce("source", F.lit("\x00")).alias("__s")]
-    taken = mix(docs, **options).withColumn("copies", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"))
+    dither = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "size"), F.lit(1 << 20)) / (1 << 20)
+    taken = mix(docs, **options).withColumn("copies", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + dither).cast("int"))
     taken = taken.groupBy(*key, F.col("size").alias("__z")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
     d = docs.select("*", *key, words(F.col("text")).alias("__z"))
     nth = Window.partitionBy("__d", "__s", "__z").orderBy(F.xxhash64("text"))
