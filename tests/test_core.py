@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidelog import config, model
 from tidelog.engine import Engine
 from tidelog.functions import hashing, text
+from tidelog.functions.lru import Lru
 from tidelog.operators import integrity, lsm, scans, sketches
 from tidelog.plans import snapshot
 from tidelog.sources import log as source
@@ -175,6 +176,19 @@ def test_value_tags(spark):
     assert [tuple(r) for r in d.select(text.value_kind(F.col("v")), text.untag_value(F.col("v"))).collect()] == [("text", "hi"), ("image", "img"), ("audio", "snd"), ("document", "doc"), (None, "")]
 
 
+def test_lru():
+    c = Lru(2)
+    c.put("a", 1)
+    c.put("b", 2)
+    assert c.get("a") == 1 and c.peek("b") == 2
+    c.put("c", 3)
+    assert "b" not in c and len(c) == 2 and c.get("b", 9) == 9
+    c.resize(1)
+    assert "c" in c and c.remove("c") and not c.remove("c")
+    with pytest.raises(ValueError):
+        c.resize(-1)
+
+
 def test_settings(tmp_path):
     s = config.from_json('{"memtable": {"capacity": 5}}')
     assert s.memtable.capacity == 5 and s.tree.max_levels == 7

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.config import Settings
+from tidelog.functions.lru import Lru
 from tidelog.model import RECORD
 from tidelog.operators import integrity, lsm, scans, sketches
 from tidelog.plans.snapshot import live
@@ -28,6 +29,7 @@ class Engine:
         self.runs = lsm.RunStore(spark, f"{root}/runs", self.settings)
         self.sketches = sketches.Registry(spark, f"{root}/sketches")
         self._snapshot: DataFrame | None = None
+        self.cache = Lru(self.settings.cache.capacity)
         self._bucket = (int(time.time()), self.settings.bucket.tokens)
         self._seq = self._last() + 1
 
@@ -52,6 +54,7 @@ class Engine:
         if self._snapshot is not None:
             self._snapshot.unpersist()
         self._snapshot = None
+        self.cache.clear()
 
     def snapshot(self) -> DataFrame:
         if self._snapshot is None:
@@ -82,8 +85,10 @@ class Engine:
         return existed
 
     def get(self, key: str) -> dict | None:
-        r = self.snapshot().filter(F.col("key") == key).first()
-        return {"key": r["key"], "value": bytes(r["value"] or b""), "timestamp": r["timestamp"], "deleted": False} if r else None
+        if (known := self.cache.get(key)) is None and (r := self.snapshot().filter(F.col("key") == key).first()):
+            known = {"key": r["key"], "value": bytes(r["value"] or b""), "timestamp": r["timestamp"], "deleted": False}
+            self.cache.put(key, known)
+        return known
 
     def prefix_scan(self, prefix: str, size: int = scans.PAGE_SIZE, page: int = scans.PAGE) -> list[str]:
         return [r["key"] for r in scans._page(self.snapshot().filter(scans.with_prefix(prefix)), size, page, True).collect()]

@@ -97,6 +97,7 @@ class Links:
     def __init__(self, a: CoverTree, b: CoverTree):
         self.a, self.b, self.same = a, b, a is b
         self.n = [np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)]
+        self.shift = 0 if self.same else len(a.ids)
         self.up = np.arange(len(a.ids) + (0 if self.same else len(b.ids)))
 
     def root(self, i: int) -> int:
@@ -106,64 +107,89 @@ class Links:
         return i
 
     def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j + (0 if self.same else len(self.a.ids)))
+        i, j = self.root(i), self.root(j + self.shift)
         self.up[max(i, j)] = min(i, j)
 
-    def exact(self, ra: slice, rb: slice, least: float) -> None:
-        """All pairs of two bounded runs of rows, in double precision."""
-        for i in range(ra.start, ra.stop, 512):
-            for j in range(rb.start, rb.stop, 512):
-                ea, eb = min(i + 512, ra.stop), min(j + 512, rb.stop)
-                hit = self.a.x[i:ea] @ self.b.x[j:eb].T >= least
-                if self.same:
-                    hit &= np.arange(i, ea)[:, None] < np.arange(j, eb)[None, :]
-                if not hit.any():
+    def exact(self, ra: np.ndarray, rb: np.ndarray, least: float, once: bool) -> None:
+        """All pairs of two lists of rows, a bounded block at a time, in double
+        precision; ``once``: both lists are the same and a pair counts once."""
+        for i in range(0, len(ra), 1024):
+            p = ra[i : i + 1024]
+            for j in range(0, len(rb), 1024):
+                q = rb[j : j + 1024]
+                if once and p[0] > q[-1]:
                     continue
-                self.n[0][i:ea] += hit @ self.b.weight[j:eb]
-                self.n[1][j:eb] += self.a.weight[i:ea] @ hit
-                rows = hit.any(1)
-                lead = hit.argmax(1)
-                for p in np.flatnonzero(rows):  # each row to its first partner, each partner to one row
-                    self.join(i + p, j + int(lead[p]))
-                lead = hit.argmax(0)
-                for q in np.flatnonzero(hit.any(0)):
-                    self.join(i + int(lead[q]), j + q)
-                self._rest(hit, i, j)
-
-    def _rest(self, hit: np.ndarray, i: int, j: int) -> None:
-        """Links between rows that the leads left in different groups."""
-        shift = 0 if self.same else len(self.a.ids)
-        left = np.array([self.root(i + p) for p in range(hit.shape[0])])
-        right = np.array([self.root(j + q + shift) for q in range(hit.shape[1])])
-        for p, q in zip(*np.nonzero(hit & (left[:, None] != right[None, :]))):
-            self.join(i + p, j + q)
+                hit = self.a.x[p] @ self.b.x[q].T >= least
+                if once:
+                    hit &= p[:, None] < q[None, :]
+                if hit.any():
+                    self._count(hit, p, q)
+
+    def _count(self, hit: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        """Adds a block's links, and joins along a spanning part of them."""
+        self.n[0][p] += hit @ self.b.weight[q]
+        self.n[1][q] += self.a.weight[p] @ hit
+        rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        for r, c in zip(rows, hit[rows].argmax(1)):
+            self.join(p[r], q[c])
+        for c, r in zip(columns, hit[:, columns].argmax(0)):
+            self.join(p[r], q[c])
+        left = np.array([self.root(r) for r in p[rows]])
+        right = np.array([self.root(c + self.shift) for c in q[columns]])
+        apart = hit[np.ix_(rows, columns)] & (left[:, None] != right[None, :])
+        for r, c in zip(*np.nonzero(apart)):
+            self.join(p[rows[r]], q[columns[c]])
+
+    @staticmethod
+    def _parts(t: CoverTree, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """A node's children that are split further, and the rows of all others."""
+        c = np.arange(t.child[node], t.child[node] + t.kids[node]) if t.kids[node] else np.array([node])
+        inner = c[t.kids[c] > 0]
+        flat = c[t.kids[c] == 0]
+        size = t.last[flat] - t.first[flat]
+        ends = np.cumsum(size)
+        rows = np.arange(ends[-1] if len(ends) else 0) + np.repeat(t.first[flat] - (ends - size), size)
+        return inner, rows
 
     def visit(self, threshold: float) -> None:
+        """Traverse both trees together from their roots. Rows under unsplit nodes
+        of one pair are compared at once; a pair with a split node is dropped if
+        it is too far apart, counted if all of it is linked, else opened."""
         a, b = self.a, self.b
         far = np.sqrt(2 - 2 * threshold)
         todo = [(0, 0)]
         while todo:
             p, q = todo.pop()
-            same = self.same and p == q
-            mine = np.arange(a.child[p], a.child[p] + a.kids[p]) if a.kids[p] else np.array([p])
-            yours = np.arange(b.child[q], b.child[q] + b.kids[q]) if b.kids[q] else np.array([q])
-            if not a.kids[p] and not b.kids[q]:
-                self.exact(slice(a.first[p], a.last[p]), slice(b.first[q], b.last[q]), threshold)
-                continue
-            for i in range(0, len(mine), 1024):
-                m = mine[i : i + 1024]
-                d = _distance(a.x[a.centre[m]], b.x[b.centre[yours]])
-                near = d <= far + a.radius[m][:, None] + b.radius[yours][None, :] + 1e-7
-                if same:
-                    near &= m[:, None] <= yours[None, :]
-                for k, n in zip(*np.nonzero(near)):
-                    u, v = int(m[k]), int(yours[n])
-                    if not (self.same and u == v) and d[k, n] + a.radius[u] + b.radius[v] <= far - 1e-7:
-                        self.whole(u, v)
-                    elif a.last[u] - a.first[u] == b.last[v] - b.first[v] == 1 and self.same and u == v:
-                        continue
-                    else:
-                        todo.append((u, v))
+            once = self.same and p == q
+            (ia, ra), (ib, rb) = self._parts(a, p), self._parts(b, q)
+            self.exact(ra, rb, threshold, once)
+            for u in ia:  # split nodes against split nodes
+                if not len(ib):
+                    break
+                v = ib[ib >= u] if once else ib
+                d = _distance(a.x[[a.centre[u]]], b.x[b.centre[v]])[0]
+                for k in np.flatnonzero(d <= far + a.radius[u] + b.radius[v] + 1e-7):
+                    self._pair(int(u), int(v[k]), d[k], far, todo)
+            self._mixed(a, ia, b, rb, threshold, False)
+            if not once:
+                self._mixed(b, ib, a, ra, threshold, True)
+
+    def _mixed(self, t: CoverTree, inner: np.ndarray, o: CoverTree, rows: np.ndarray, threshold: float, swap: bool) -> None:
+        """Split nodes of one tree against rows of the other."""
+        for u in inner:
+            if not len(rows):
+                return
+            d = _distance(t.x[[t.centre[u]]], o.x[rows])[0]
+            near = rows[d <= np.sqrt(2 - 2 * threshold) + t.radius[u] + 1e-7]
+            own = np.arange(t.first[u], t.last[u])
+            if len(near):
+                self.exact(near, own, threshold, False) if swap else self.exact(own, near, threshold, False)
+
+    def _pair(self, u: int, v: int, d: float, far: float, todo: list) -> None:
+        if (not self.same or u != v) and d + self.a.radius[u] + self.b.radius[v] <= far - 1e-7:
+            self.whole(u, v)
+        else:
+            todo.append((u, v))
 
     def whole(self, u: int, v: int) -> None:
         """Every row of node u is linked to every row of node v."""

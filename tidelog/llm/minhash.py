@@ -13,9 +13,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: Bands of registers; a pair of probability Jaccard 0.8 shares no band with
 #: probability (1 - 0.8^6)^40 = 5e-6.
 BANDS, ROWS = 40, 6
-#: Members up to which a bucket's classes are compared pair by pair; above it
-#: rare shingles pick the pairs, which loses none either.
-PAIRWISE = 64
+#: Nodes up to which a bucket's classes are compared as pairs; larger buckets are
+#: cut into blocks of about ``BLOCK`` nodes, and each two blocks compared at once.
+PAIRWISE, BLOCK = 24, 256
 #: Bytes of text worked on at a time.
 BATCH = 1 << 20
 
@@ -189,14 +189,65 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a, c], names=["u", "v"]).filter(pa.array(out, pa.bool_()))
 
 
-def _rates(batches):
-    """(node, shingle, share of the text's weight)."""
-    for b in batches:
-        node, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-        for start, stop in _slices(texts):
-            doc, h, w = shingles(texts[start:stop])
-            total = np.bincount(doc, w, stop - start)
-            yield pa.RecordBatch.from_arrays([pa.array(node[start:stop][doc]), pa.array(h.view(np.int64)), pa.array(w / total[doc])], names=["node", "shingle", "share"])
+def _overlaps(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
+    """For each two texts (row, column): the row's weight on shingles of the column."""
+    out = np.zeros((docs, docs), np.float32)
+    kinds, which, n = np.unique(h, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(n > 1)
+    place = np.full(len(kinds), -1)
+    place[often] = np.arange(len(often))
+    at = place[which]
+    for start in range(0, len(often), 8192):
+        mine = (at >= start) & (at < start + 8192)
+        has = np.zeros((docs, min(8192, len(often) - start)), np.float32)
+        has[doc[mine], at[mine] - start] = 1
+        heavy = has
+        if (weight[mine] > 1).any():
+            heavy = has.copy()
+            heavy[doc[mine], at[mine] - start] = weight[mine]
+        out += heavy @ has.T
+    return out
+
+
+def _compare(block: np.ndarray, node: np.ndarray, group: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+    """Similar nodes of different classes (``group``) in one or between two blocks:
+    as many pairs as join all classes that any similar pair joins."""
+    doc, h, w = shingles(texts)
+    n = np.bincount(doc, w, len(texts))
+    shared = _overlaps(doc, h, w, len(texts))
+    sets = np.bincount(doc, w > 1, len(texts)) == 0
+    ask = (group[:, None] != group[None, :]) & (block[:, None] <= block[None, :])
+    if block.min() == block.max():
+        ask &= np.triu(np.ones_like(ask), 1)
+    else:
+        ask &= block[:, None] < block[None, :]
+    least = THRESHOLD - 1e-5
+    ask &= (shared >= least * n[:, None]) & (shared.T >= least * n[None, :])  # what any such similarity needs
+    plain = sets[:, None] & sets[None, :]
+    ask &= ~plain | (shared >= THRESHOLD * (n[:, None] + n[None, :] - shared) - 1e-6)
+    start = np.searchsorted(doc, np.arange(len(texts) + 1))
+    up: dict[int, int] = {}
+
+    def root(c):
+        while (d := up.setdefault(c, c)) != c:
+            c = d
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(ask)):
+        a, b = root(int(group[i])), root(int(group[j]))
+        if a != b:
+            x, y = slice(start[i], start[i + 1]), slice(start[j], start[j + 1])
+            if similarity(h[x], w[x], h[y], w[y]) >= THRESHOLD:
+                up[max(a, b)] = min(a, b)
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _block_pair(group: pa.Table) -> pa.Table:
+    block, node, classes_ = (group.column(k).to_numpy() for k in ("block", "node", "class"))
+    found = _compare(block, node, classes_, group.column("text").to_pylist())
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -232,12 +283,10 @@ def classes(docs: DataFrame) -> DataFrame:
     few = member.filter(F.col("n") <= PAIRWISE).select("key", "node", "class")
     other = few.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"))
     pairs = few.withColumnRenamed("node", "a").join(other, "key").filter("class < class_b").select("a", "b")
-    many = member.filter(F.col("n") > PAIRWISE).select("node", "class").distinct()
-    if not many.isEmpty():
-        pairs = pairs.unionByName(_by_rare_shingles(many, texts))
     done = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-    second = store(_links(store(pairs, "pairs"), texts), "links")
+    second = _links(store(pairs, "pairs"), texts).unionByName(_in_blocks(member.filter(F.col("n") > PAIRWISE), texts))
+    second = store(second, "links")
 
     joined = components(first.unionByName(second))
     known = nodes.select("node", "h1", "h2", "rep").join(joined, "node", "left")
@@ -251,20 +300,14 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.unionByName(rest)
 
 
-def _by_rare_shingles(many: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of nodes of different classes that may be similar: a similarity of s
-    needs shared shingles of s of each text's weight, so the rarest shingles
-    that make up just over 1 - s of both must have one in common."""
-    own = store(texts.join(many.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_rates, "node long, shingle long, share double"), "rates")
-    seen = store(own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "frequencies")
-    own = own.join(seen, "shingle")
-    before = Window.partitionBy("node").orderBy("df", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    rare = own.withColumn("before", F.coalesce(F.sum("share").over(before), F.lit(0.0))).filter(F.col("before") <= 1 - THRESHOLD + 1e-9)
-    rare = store(rare.filter("df > 1").select("shingle", "node").join(many, "node"), "rare")
-    low = store(rare.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("shingle"), "split")
-    rare = rare.join(low, "shingle", "left_semi")
-    other = rare.select("shingle", F.col("node").alias("b"), F.col("class").alias("class_b"))
-    return rare.withColumnRenamed("node", "a").join(other, "shingle").filter("class < class_b").select("a", "b").distinct()
+def _in_blocks(member: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between classes within large buckets. A bucket of n nodes is cut
+    into about n / ``BLOCK`` blocks by hash; each two blocks are one group of
+    bounded size, which sends back at most one link per class it holds."""
+    m = member.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    m = m.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class", "text")
+    return m.groupBy("key", "i", "j").applyInArrow(_block_pair, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -274,11 +317,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal texts are one node. A node's ProbMinHash registers make 40 band keys.
     Nodes of a bucket are first compared with its smallest node, which joins
     near copies by as many comparisons as there are copies; then, in buckets
-    that still hold several classes, the nodes of different classes: pair by
-    pair in buckets of up to ``PAIRWISE`` nodes, and by their rare shingles
-    in larger ones. Every comparison uses the exact similarity of whole texts,
-    and no two nodes of a bucket stay uncompared unless they are in one class
-    already or can't be similar. Connected components are the classes.
+    that still hold several classes, the nodes of different classes: as pairs
+    in buckets of up to ``PAIRWISE`` nodes, block by block in larger ones,
+    where shared weight sorts out most pairs at once. Every link rests on the
+    exact similarity of whole texts, and no two nodes of a bucket stay
+    uncompared unless they are in one class already. Connected components
+    are the classes.
 
     class_id is the smallest doc_id of the class, kept marks that document. A
     null text: its own id, kept. Texts without words are equal only to the same

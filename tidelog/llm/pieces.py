@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,43 +122,87 @@ class Codec:
     """Encodes and decodes batches of texts.
 
     Where the model allows it a text is cut before each run of spaces and every
-    distinct chunk goes through the library once per task; batches of chunks
-    are encoded on the library's own threads. Each new chunk is decoded again
-    and compared, which settles the round trip of every text built from it.
+    distinct chunk goes through the library once per task, many chunks to a
+    string and many strings to a batch, which the library spreads over its
+    threads; a token that begins with the marker begins a chunk. Each string
+    is decoded again and compared, which settles the round trip of every text
+    built from its chunks.
     """
 
+    TOGETHER = 64  # chunks of one space to a string
+
     def __init__(self, model: Model):
         self.model, self.backend = model, model.tokenizer()
         self.chunked = model.splits_at_mark and model.escape and model.dummy_prefix and not model.squeeze and not model.charsmap
-        self.known: dict[str, tuple[list[int], bool]] = {}
-
-    def encode(self, texts: Iterable[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each text, and whether they decode to the text again."""
-        texts = list(texts)
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.length, self.good = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat = np.zeros(0, np.int32)
+
+    def _through(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        ids = [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [i if t else [self.backend.token_to_id(MARK)] for i, t in zip(ids, texts)] if self.chunked else ids
+        return ids, [a == b for a, b in zip(self.decode(ids), texts)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [c for c in new if len(c) > 1 and c[1] != " "]
+        blocks = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
+        order, lengths, flat, good = [], [], [], []
+        single = [c for c in new if len(c) == 1 or c[1] == " "]
+        for block, ids, same in zip(blocks, *self._through(["".join(b)[1:] for b in blocks])):
+            ids = np.array(ids, np.int32)
+            at = np.flatnonzero(self.begins[ids])
+            if same and len(at) == len(block):
+                order += block
+                lengths.append(np.diff(np.append(at, len(ids))))
+                flat.append(ids)
+                good.append(np.ones(len(block), bool))
+            else:
+                single += block
+        for c, ids, same in zip(single, *self._through([c[1:] for c in single])):
+            order.append(c)
+            lengths.append(np.array([len(ids)]))
+            flat.append(np.array(ids, np.int32))
+            good.append(np.array([same]))
+        if not order:
+            return
+        lengths = np.concatenate(lengths)
+        self.known.update(zip(order, range(len(self.length), len(self.length) + len(order))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.good = np.concatenate([self.good, *good])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets, ids of all texts end to end, and which texts they decode to again."""
         if not self.chunked:
-            ids = [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
-            return ids, [a == b for a, b in zip(self.decode(ids), texts)]
+            ids, same = self._through(texts)
+            return np.concatenate([[0], np.cumsum([len(i) for i in ids])]), np.array(list(chain.from_iterable(ids)), np.int32), np.array(same, bool)
         # The model turns spaces into its marker, so a marker of the text's own counts as a space.
         cut = [_CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        known = self.known
-        new = [c for c in set(chain.from_iterable(cut)) if c not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(chain.from_iterable(cut)))
-        for i in range(0, len(new), 8192):
-            part = [c[1:] for c in new[i : i + 8192]]  # the library puts the marker back
-            ids = [e.ids for e in self.backend.encode_batch_fast(part, add_special_tokens=False)]
-            if "" in part:  # a lone marker, which the library doesn't prepend to nothing
-                at = part.index("")
-                ids[at] = [self.backend.token_to_id(MARK)]
-            back = self.backend.decode_batch(ids, skip_special_tokens=False)
-            known.update((" " + p, (x, p == y)) for p, x, y in zip(part, ids, back))
-        out, same = [], []
-        for t, chunks in zip(texts, cut):
-            got = [known[c] for c in chunks]
-            out.append(list(chain.from_iterable(g[0] for g in got)))
-            same.append(all(g[1] for g in got) and MARK not in t)
-        return out, same
+        n = np.array([len(c) for c in cut], np.int64)
+        at = list(map(self.known.get, chain.from_iterable(cut)))
+        if None in at:
+            new = {c for c, k in zip(chain.from_iterable(cut), at) if k is None}
+            if len(self.known) + len(new) > CACHE:
+                self._forget()
+                new = set(chain.from_iterable(cut))
+            self._learn(sorted(new))
+            at = list(map(self.known.get, chain.from_iterable(cut)))
+        at = np.array(at, np.int64)
+        length = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], length)]
+        bad = np.bincount(np.repeat(np.arange(len(texts)), n), ~self.good[at], len(texts)) if len(at) else np.zeros(len(texts))
+        return ends[np.concatenate([[0], np.cumsum(n)])], ids, (bad == 0) & np.array([MARK not in t for t in texts], bool)
+
+    def encode(self, texts: Iterable[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of each text, and whether they decode to the text again."""
+        ends, ids, same = self.encode_flat(list(texts))
+        return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])], same.tolist()
 
     def decode(self, ids: Iterable[list[int]]) -> list[str]:
         return self.backend.decode_batch([list(i) for i in ids], skip_special_tokens=False)
@@ -185,6 +231,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), batc
     n = len(keep)
 
     def run(batches):
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads, beside those of other tasks
         codec = Codec(Model(raw.value))
         for b in batches:
             texts = b.column(n)
@@ -194,14 +241,11 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), batc
                 while stop < b.num_rows and (stop == start or size < batch):
                     size += len(texts[stop].as_py() or "")
                     stop += 1
-                part = texts.slice(start, stop - start).to_pylist()
-                ids, same = codec.encode(t or "" for t in part)
-                there = [t is not None for t in part]
-                columns = [
-                    pa.array([i if x else None for i, x in zip(ids, there)], pa.list_(pa.int32())),
-                    pa.array([len(i) if x else None for i, x in zip(ids, there)], pa.int32()),
-                    pa.array([i if x else None for i, x in zip(same, there)], pa.bool_()),
-                ]
+                part = texts.slice(start, stop - start)
+                ends, ids, same = codec.encode_flat(part.fill_null("").to_pylist())
+                null = part.is_null().to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=pa.array(null))
+                columns = [lists, pa.array(np.diff(ends).astype(np.int32), mask=null), pa.array(same, mask=null)]
                 yield pa.RecordBatch.from_arrays([b.column(k).slice(start, stop - start) for k in range(n)] + columns, schema=pa.schema([b.schema.field(k) for k in range(n)] + fields))
                 start = stop
 
