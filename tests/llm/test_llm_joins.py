@@ -201,9 +201,10 @@ def vectors(seed=1):
     return out + [(900, None, 0, 1), (901, [], 0, 1), (902, [1.0, None], 0, 1), (903, [float("nan")] * 16, 0, 1), (904, [float("inf")] * 16, 0, 1), (905, [3.0, 4.0], 0, 1), (906, [6.0, 8.0], 0, 1), (None, [3.0, 4.0], 0, 1)]
 
 
-@pytest.mark.parametrize("per_tree", [2048, 40])
-def test_cover_tree_matches_brute_force(spark, per_tree, monkeypatch):
+@pytest.mark.parametrize("per_tree, block", [(2048, 32 << 20), (40, 32 << 20), (40, 30_000)])
+def test_cover_tree_matches_brute_force(spark, per_tree, block, monkeypatch):
     monkeypatch.setattr(covertree, "LEAF", 4)
+    monkeypatch.setattr(covertree, "BLOCK", block)
     rows = vectors()
     got = {r["vec_id"]: r for r in covertree.near_duplicates(spark.createDataFrame(rows, VEC), per_tree=per_tree).collect()}
     good = {i: np.array(v) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}

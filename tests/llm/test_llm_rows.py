@@ -33,7 +33,7 @@ def brute_targets(sizes, weights=(3, 1, 2), share=1.5):
         fixed |= {s: 2.0 * sizes[s] for s in over}
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(0, 400), "en", rng.choice(["a"] * 6 + ["b", "c", "d", None])) for i in range(400)]
     rows += [(900, None, "en", "a"), (901, "", "en", "z"), (None, "x y", "en", "a"), (None, "x y", "en", "a"), (5, "x y\tz\x0bq", "en", "b")]
@@ -52,6 +52,8 @@ def test_mixing(spark):
         assert taken[s] == pytest.approx(t, rel=0.01, abs=3)
     key = lambda rows: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rows)
     assert key(mixing.mix(d).collect()) == key(got)
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    assert key(mixing.mix(d).collect()) == key(got)
     assert mixing.mix(d.limit(0)).count() == 0
     whole = mixing.mixed_documents(docs_of(spark, rows))
     n = sum(len(r["text"].split()) for r in whole.collect())
@@ -90,6 +92,7 @@ def test_hosts_paths_and_rules(spark):
         "https://a.net/es/9": ("a.net", "/es/9", "net/es/", "block"),
         "https://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
         "https://a.net?x=/es/": ("a.net", "", None, None),
+        "https://a.com": ("a.com", "", None, None),
         "example.com/en/": ("", "", None, None),
         "": ("", "", None, None),
     }

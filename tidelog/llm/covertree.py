@@ -295,12 +295,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_tree: int =
             bodies = [(t["tree"], bytes(t["body"])) for t in trees.filter(F.col("tree").between(low, high)).collect()]  # at most BLOCK bytes
             held = spark.sparkContext.broadcast(bodies)
             got = trees.filter(F.col("tree") <= high).mapInArrow(_against(held, threshold), "rep long, root long, n long")
+            got = store(got, "links")  # one block's trees are held at a time
+            held.unpersist()
             found = got if found is None else found.unionByName(got)
     if found is None:
         links = spark.createDataFrame([], "rep long, other long")
         joined = spark.createDataFrame([], "node long, component long")
     else:
-        found = store(found, "links")
         links = found.groupBy("rep").agg(F.sum("n").alias("other"))
         joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     known = store(nodes.select("rep", "h1", "h2", "weight").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left"), "known")

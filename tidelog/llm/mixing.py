@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import store
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Up to so many sources the block table is broadcast; else it is joined by source.
+SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -52,8 +54,9 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
     get their blocks by highest quotients ``target / (2k + 1)``; a source's
     blocks are dealt to its ``shards`` in the same way, and each shard takes
     its quota in seeded order, so no block is taken over ``cap`` times. The
-    block table has about ``blocks`` rows whatever the input and is broadcast;
-    no document is gathered anywhere.
+    block table has about ``blocks`` rows whatever the input, one at least for
+    each source, and is broadcast up to ``SOURCES`` sources; no document is
+    gathered anywhere.
 
     Returns doc_id, source, size, source_size, target, taken, one row per row.
     Null or empty text: size 0, taken 0. Null source: a source of its own, last
@@ -65,7 +68,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
     d = store(d.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets))), "sized")
     parts = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = store(source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, float(cap)), "targets")
-    totals = targets.agg(F.max("total").alias("total"), F.sum(F.when(~F.col("saturated"), F.col("target"))).alias("open")).first()
+    totals = targets.agg(F.count(F.lit(1)).alias("sources"), F.max("total").alias("total"), F.sum(F.when(~F.col("saturated"), F.col("target"))).alias("open")).first()
     b = max(1, -int(-(totals["total"] or 0) // blocks))
     seats = int(round((totals["open"] or 0) / b))
 
@@ -103,7 +106,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
     inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("run", F.sum("size").over(inside))
     d = d.join(parts, F.expr("source <=> o_source and bucket = o_bucket"))
-    d = d.join(F.broadcast(plan), F.expr("source <=> plan_source"))
+    few = totals["sources"] <= SOURCES
+    d = d.join(F.broadcast(plan) if few else plan, F.expr("source <=> plan_source"))
     d = d.withColumn("until", F.col("offset") + F.col("run")).withColumn("since", F.col("until") - F.col("size"))
     upto = "(plan[cast({0} div {1} as int)].before * {1} + plan[cast({0} div {1} as int)].times * ({0} % {1}))"
     return d.select("doc_id", "source", "size", "source_size", "target", F.expr(f"{upto.format('until', f'{b}L')} - {upto.format('since', f'{b}L')}").cast("long").alias("taken"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import store
 from tidelog.llm.vectors import matrix, usable
 
 #: Queries that go to the executors at a time.
@@ -109,6 +110,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
     A pair is dropped at the first resolution whose lower-bound distance d
     satisfies (|q|^2 + |x|^2 - d^2) / 2 < the k-th score so far, so no pair that
     belongs to the result is lost. The partitions' bests are merged per query.
+    Where there is more than one block, each one's bests are written before the
+    next goes out, so that no more than one block of queries is held at a time.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id.
     Vectors of another length than the query's are no candidates. Rows that
@@ -117,8 +120,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
     """
     spark = vectors.sparkSession
     asked = queries.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
+    asked = store(asked, "queries")
     counts = asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # one row per vector length
-    found = None
+    found, several = None, sum(-(-r["n"] // block) for r in counts) > 1
     for r in counts:
         parts = -(-r["n"] // block)
         for part in range(parts):
@@ -131,6 +135,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
                 now = rows.iloc[i : i + block]
                 held = spark.sparkContext.broadcast((now["vec_id"].to_numpy(np.int64), np.stack(now["x"].to_numpy()).astype(float)))
                 got = vectors.filter(F.size("x") == r["dim"]).select("vec_id", "x").mapInArrow(_partition(held, k), "query_id long, vec_id long, score long")
+                if several:
+                    got = store(got, "bests")
+                    held.unpersist()
                 found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -29,7 +29,7 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits (host and subdomains, path by prefix), and its verdict."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
-        fits = ((host == h) | host.endswith("." + h)) & (path.startswith(p) | (F.lit(p == "/") & (path == "")))
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, v).otherwise(verdict)
     return name, verdict
 
@@ -110,8 +110,7 @@ def filter_urls(pages: DataFrame, rules=RULES, bins: int = 4096) -> DataFrame:
     With fewer than two classes of labelled urls every url without a rule gets
     the class there is, or allow.
 
-    Returns page_id, host, path, rule, verdict, score (null for null url), one
-    row per row: null ids, repeated rows and very long urls are kept. A null
+    Returns page_id, host, path, rule, verdict, score, one null ids, repeated rows and very long urls are kept. A null
     url or one without ``://`` has empty host and path, no rule, and is judged
     by the models on the empty text, that is by a score of 0.
     """
