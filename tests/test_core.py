@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog import config, model
 from tidelog.engine import Engine
-from tidelog.functions import hashing, text
+from tidelog.functions import codec, hashing, text
 from tidelog.functions.lru import Lru
 from tidelog.operators import integrity, lsm, scans, sketches
 from tidelog.plans import snapshot
@@ -85,6 +85,31 @@ def test_hamming_and_pairs(spark):
     assert d == 128
 
 
+@pytest.mark.parametrize("prints, blocks, bands", [(100, 8, 8), (10**6, 9, 36), (10**10, 10, 120)])
+def test_bands_of_fingerprints_hold_every_near_pair(spark, monkeypatch, prints, blocks, bands):
+    cut, chosen = sketches._bands(7, prints)
+    assert len(cut) == blocks and len(chosen) == bands and sum(n for _, n in cut) == 128
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(128) for _ in range(6)]
+    every = sorted({b ^ sum(1 << i for i in rng.sample(range(128), n)) for b in base for n in (0, 3, 7, 7, 9)})
+    monkeypatch.setattr(sketches, "_bands", lambda most, n: (cut, chosen))
+    d = spark.createDataFrame([(f"{p:032x}",) for p in every] + [(f"{every[0]:032x}",), (None,)], "fingerprint string")
+    got = {(r["a"], r["b"]): r["distance"] for r in sketches.fingerprint_pairs(d).collect()}
+    assert got == {(f"{a:032x}", f"{b:032x}"): (a ^ b).bit_count() for a in every for b in every if a < b and (a ^ b).bit_count() <= 7}
+
+
+def test_codecs_round_trip(spark):
+    log = log_of(spark, [("a", "x" * 9000), ("ključ", None), ("b", ""), ("c", "y" * 4033), ("d", "y" * 4050)])
+    d = log.withColumn("raw", codec.plain()).withColumn("frames", codec.frames(F.col("raw"))).withColumn("short", codec.compressed(F.col("seq") + 1))
+    for r in d.withColumn("back", codec.from_plain(codec.joined(F.col("frames")))).withColumn("known", codec.from_compressed(F.col("short"))).collect():
+        value = bytes(r["value"]) if r["value"] else None
+        assert (r["back"]["key"], r["back"]["tombstone"], r["back"]["timestamp"], r["back"]["value"] and bytes(r["back"]["value"])) == (r["key"], r["tombstone"], 7, value)
+        assert (r["known"]["key_id"], r["known"]["tombstone"], r["known"]["timestamp"], r["known"]["value"] and bytes(r["known"]["value"])) == (r["seq"] + 1, r["tombstone"], 7, value)
+        assert len(r["short"]) == (17 if r["tombstone"] else 25 + len(value or b""))
+        kinds = [f[8] for f in r["frames"]]
+        assert kinds == ([4] if len(r["raw"]) <= 4075 else [1] + [2] * (len(kinds) - 2) + [3]) and all(len(f) + 4 <= 4096 for f in r["frames"])
+
+
 def test_tokens(spark):
     got = spark.createDataFrame([("Don't STOP, the_1 café...\n\nend.",)], "t string").select(text.tokens(F.col("t"))).first()[0]
     assert got == ["dont", "stop", "the_1", "caf", "end"]
@@ -103,7 +128,7 @@ def test_merkle_known_roots(spark):
 
 def test_record_bytes_and_checksum(spark):
     log = spark.createDataFrame([("k", bytearray(b"vv"), False, 258, 0)], model.RECORD)
-    raw = bytes(log.select(integrity.record_bytes()).first()[0])
+    raw = bytes(log.select(codec.plain()).first()[0])
     assert raw == (258).to_bytes(8, "little") + b"\0" + (1).to_bytes(8, "little") + (2).to_bytes(8, "little") + b"kvv"
     assert integrity.checksums(log).first()["crc"] == zlib.crc32(raw) and log.select(lsm.plain_size()).first()[0] == len(raw)
 

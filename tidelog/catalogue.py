@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog import model
 from tidelog.config import Bucket
-from tidelog.functions import hashing, text
+from tidelog.functions import codec, hashing, text
 from tidelog.operators import integrity, lsm, scans, sketches
 from tidelog.plans import snapshot
 from tidelog.streaming import buckets
@@ -162,6 +162,31 @@ def wal_fragments(spark, sf_dir):
     return docs.select("doc_id", lsm.fragments(lsm.plain_size(), 4096).alias("fragments"))
 
 
+@query(f"with {E} select key, value, tombstone, timestamp, seq from e")
+def record_round_trip(spark, sf_dir):
+    """Records to their plain binary form and back."""
+    d = _events(spark, sf_dir).select("seq", codec.from_plain(codec.plain()).alias("r"))
+    return d.select("r.key", F.decode("r.value", "UTF-8").alias("value"), "r.tombstone", "r.timestamp", "seq")
+
+
+@query(f"with {E}, f as (select key, min(seq) as s from e group by key), k as (select row_number() over (order by s, key) as key_id, key from f) select key_id, value, tombstone, timestamp, seq from e join k using (key)")
+def record_round_trip_compressed(spark, sf_dir):
+    """The same with numbers of the key dictionary in place of keys."""
+    log = _events(spark, sf_dir)
+    d = log.join(scans.key_dictionary(log), "key").select("seq", codec.from_compressed(codec.compressed(F.col("id"))).alias("r"))
+    return d.select("r.key_id", F.decode("r.value", "UTF-8").alias("value"), "r.tombstone", "r.timestamp", "seq")
+
+
+@query("""with s as (select doc_id, 25 + octet_length(encode(doc_id::VARCHAR)) + coalesce(octet_length(encode(text)), 0) as size from documents),
+n as (select doc_id, size, ceil(size / 4075.0)::BIGINT as n from s), i as (select *, unnest(range(0, n)) as frame from n)
+select doc_id, frame, case when n = 1 then 4 when frame = 0 then 1 when frame = n - 1 then 3 else 2 end as kind, least(4075, size - 4075 * frame) as payload from i""")
+def wal_frames(spark, sf_dir):
+    """The log frames of a record for each document."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"), F.lit(False).alias("tombstone"), F.lit(0).alias("timestamp"))
+    d = d.select("doc_id", F.posexplode(codec.frames(codec.plain())).alias("frame", "raw"))
+    return d.select("doc_id", F.col("frame").cast("long").alias("frame"), codec.frame_kind(F.col("raw")).alias("kind"), codec.whole(F.col("raw"), 1).alias("payload"))
+
+
 @query("select case when event_type in ('click', 'view') then 'text' else 'image' end as kind, event_type || ':' || props as value, count(*) as n from events group by all")
 def kv_value_tags(spark, sf_dir):
     e = _table(spark, sf_dir, "events")

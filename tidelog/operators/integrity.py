@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import little_endian
+from tidelog.functions import codec
 
 _ZERO = "0" * 32
 
 
-def record_bytes() -> Column:
-    """A record in its plain binary form: timestamp, tombstone, lengths, key, value."""
-    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    head = F.concat(little_endian(F.col("timestamp")), F.when(F.col("tombstone"), "01").otherwise("00"), little_endian(size("key")), little_endian(size("value")))
-    return F.concat(F.unhex(head), F.col("key").cast("binary"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")))
-
-
 def checksums(records: DataFrame) -> DataFrame:
     """CRC32 of each record."""
-    return records.select("key", "seq", F.crc32(record_bytes()).alias("crc"))
+    return records.select("key", "seq", F.crc32(codec.plain()).alias("crc"))
 
 
 def leaves(runs: DataFrame) -> DataFrame:
     """(run_id, pos, hash): the MD5 of each record of a run in key order."""
     pos = (F.row_number().over(Window.partitionBy("run_id").orderBy("key")) - 1).cast("long")
-    return runs.select("run_id", "key", pos.alias("pos"), F.md5(record_bytes()).alias("hash"))
+    return runs.select("run_id", "key", pos.alias("pos"), F.md5(codec.plain()).alias("hash"))
 
 
 def leaves_of(values: DataFrame, pos: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ cells by sum, registers by maximum. Seeds are 0 .. k-1.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,17 +108,39 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, hashing.simhash(text.tokens(F.col("text"))).alias("fingerprint"))
 
 
+def _bands(most: int, prints: int, spread: int = 4) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Blocks (start, length) of the 128 bits, and which of them make a band each.
+
+    Two prints ``most`` bits apart agree in at least ``blocks - most`` of any
+    number of blocks, so every choice of that many blocks is a band. The fewest
+    blocks whose bands hold ``spread`` of ``prints`` evenly dealt prints at most
+    are taken: 8 bands of 16 bits, 36 of 28 bits, 120 of 36 bits, ... for the
+    largest distance, so that candidates grow with the prints, not their square.
+    """
+    for blocks in range(most + 1, most + 5):
+        ends = [128 * i // blocks for i in range(blocks + 1)]
+        chosen = list(combinations(range(blocks), blocks - most))
+        bits = min(sum(ends[i + 1] - ends[i] for i in c) for c in chosen)
+        if prints <= spread << bits:
+            break
+    return [(a + 1, b - a) for a, b in zip(ends, ends[1:])], chosen
+
+
 def fingerprint_pairs(prints: DataFrame, most: int = 7) -> DataFrame:
     """Distinct fingerprints at most ``most`` (up to 7) bits apart.
 
-    Eight bands of 16 bits: by pigeonhole such a pair agrees in one of them.
-    Equal fingerprints are one row here, so copies add no pairs; members are
-    found by joining back on the fingerprint.
+    Candidates agree in a band, see ``_bands``; exact distances follow. Equal
+    fingerprints are one row here, so copies add no pairs; members are found by
+    joining back on the fingerprint. Null fingerprints take no part.
     """
     if not 0 <= most <= 7:
-        raise ValueError("eight bands find distances up to 7")
-    d = prints.select("fingerprint").filter("fingerprint is not null").distinct()
-    b = d.withColumn("band", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("i"), F.substring("fingerprint", i * 4 + 1, F.lit(4)).alias("v")))))
+        raise ValueError("distances up to 7 can be found")
+    blocks, chosen = _bands(most, prints.count())
+    bits = F.concat(*[F.lpad(F.bin(hashing.half(F.col("fingerprint"), i)), 64, "0") for i in (0, 1)])
+    d = prints.select("fingerprint").filter("fingerprint is not null").distinct().withColumn("bits", bits)
+    part = [F.substring("bits", a, n) for a, n in blocks]
+    keys = F.array(*[F.xxhash64(F.lit(i), *[part[k] for k in c]) for i, c in enumerate(chosen)])
+    b = d.select("fingerprint", F.explode(keys).alias("band"))
     left, right = b.select("band", F.col("fingerprint").alias("a")), b.select("band", F.col("fingerprint").alias("b"))
     pairs = left.join(right, "band").filter("a < b").withColumn("distance", hashing.hamming(F.col("a"), F.col("b")))
     return pairs.filter(F.col("distance") <= most).select("a", "b", "distance").distinct()
