@@ -34,12 +34,10 @@ def levels(leaf: DataFrame) -> list[DataFrame]:
     out, level, height = [leaf.select("run_id", "pos", "hash")], leaf.join(n, "run_id").select("run_id", "pos", "hash", "n"), 0
     while (1 << height) < most:
         height += 1
-        done = level.filter(F.col("n") <= 1 << (height - 1))
-        open_ = level.filter(F.col("n") > 1 << (height - 1))
         l, r = (F.max(F.when(F.col("pos") % 2 == i, F.col("hash"))) for i in (0, 1))
-        up = open_.groupBy("run_id", "n", F.floor(F.col("pos") / 2).cast("long").alias("pos")).agg(l.alias("l"), r.alias("r"))
-        up = up.select("run_id", "pos", F.md5(F.concat(F.unhex("l"), F.unhex(F.coalesce("r", F.lit(_ZERO))))).alias("hash"), "n")
-        level = done.unionByName(up)
+        up = level.groupBy("run_id", "n", F.floor(F.col("pos") / 2).cast("long").alias("pos")).agg(l.alias("l"), r.alias("r"))
+        pair = F.md5(F.concat(F.unhex("l"), F.unhex(F.coalesce("r", F.lit(_ZERO)))))
+        level = up.select("run_id", "pos", F.when(F.col("n") <= 1 << (height - 1), F.col("l")).otherwise(pair).alias("hash"), "n")
         out.append(level.select("run_id", "pos", "hash"))
     return out
 
