@@ -21,8 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go from the texts; n_chars follows."""
-    kept = lines.dedup_lines(docs).drop("n_lines", "n_removed")
+    """Later copies of repeated line runs of any length go from the texts; n_chars follows."""
+    kept = lines.dedup_lines(docs, min_words=1).drop("n_lines", "n_removed")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -7,7 +7,8 @@ import re
 import numpy as np
 import pytest
 
-from tidelog.llm import covertree, lines, minhash, topk
+import corpus_pipeline
+from tidelog.llm import catalogue, covertree, lines, minhash, topk
 from tidelog.llm.common import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -65,6 +66,35 @@ def test_lines_edges(spark):
     assert lines.dedup_lines(d.limit(0)).count() == 0
 
 
+def without_later_copies(texts):
+    """Every line at its first place only."""
+    seen, out = set(), []
+    for t in texts:
+        kept = []
+        for x in CUT.split(t):
+            line = x.strip(BLANK)
+            if not line or line not in seen:
+                kept.append(x)
+            seen.add(line)
+        out.append("\n".join(kept))
+    return out
+
+
+def test_lines_of_any_length_go(spark, tmp_path):
+    rng = random.Random(4)
+    pool = ["a", "b b", "c c c", "All rights reserved.", "one two three four five six seven eight nine", "d " * 12, "e " * 30]
+    texts = ["\n".join(rng.choice([*pool, f"own {i} {j}"]) + rng.choice(["", "", "\n", "  "]) for j in range(rng.randrange(1, 9))) for i in range(40)]
+    texts += ["\n\na", "a", "a\na\nlast", "c c c\nb b"]
+    texts = list(dict.fromkeys(texts))
+    want = without_later_copies(texts)
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in catalogue.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == want
+    assert sum(r["n_removed"] for r in got.values()) == sum(len(CUT.split(t)) for t in texts) - sum(len(CUT.split(t)) if t else 0 for t in want)
+    stage = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs_of(spark, texts), str(tmp_path)).collect()}
+    assert [stage[i] for i in range(len(texts))] == want
+
+
 def weighted(text):
     w = re.findall(r"[A-Za-z0-9_\u0080-\U0010ffff]+", text)
     w = [x.lower() if x.isascii() else x for x in w]

@@ -16,7 +16,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 10) -> DataFrame:
     2^(k+1), and an interval's first place tells later copies from the first.
     A maximal repeated run of enough words is the union of the shortest
     such runs in it, those from each of its lines on and those up to each, so
-    only these are looked up and doubling ends at ``min_words`` lines.
+    only these are looked up and doubling ends at ``min_words`` lines. At one
+    word every line is such a run, so level 0 finds all.
     """
     here = F.struct("k1", "k2", "pos")
     lines = store(_lines(docs, min_words).filter("words > 0").distinct(), "lines")
@@ -71,7 +72,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 10) -> DataFrame:
             first = now.groupBy("length", "rank", "rank2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).filter("n > 1")
             again = now.join(store(first.drop("n"), "firsts"), ["length", "rank", "rank2"]).filter(F.col("first") < here)
             found.append(again.select("k1", "k2", "pos", "length"))
-        if 2 * step > min_words + 1:
+        if 2 * step > min_words:
             break
         beyond = Window.partitionBy("k1", "k2").orderBy("pos").rangeBetween(step, step)
         pairs = ranks.withColumn("rank2", F.first("rank").over(beyond)).filter("rank2 is not null")
@@ -90,7 +91,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
     Lines are compared without white space at their ends; blank lines go with
     the line before them. A run counts if it has ``min_words`` words or more:
-    shorter lines go only as part of one. The copy in the first document by
+    shorter lines go only as part of one. At 1 word runs of any length count:
+    no later copy of a line stays. The copy in the first document by
     doc_id (null last), at its first place, stays; every distinct line is kept
     at least there. A document all of whose lines are later copies keeps an
     empty text.
