@@ -60,6 +60,33 @@ def test_mixing(spark, monkeypatch):
     assert n == pytest.approx(sum(taken.values()), rel=0.08) and whole.columns == DOC.replace(" long", "").replace(" string", "").split(", ")
 
 
+@pytest.mark.parametrize("blocks", [16384, 64])
+def test_mixing_of_many_sources_is_exact(spark, blocks):
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(60, 140), "en", f"s{i % 500:03}") for i in range(1000)] + [(5000, "w " * 30000, "en", "large"), (5001, "w " * 500, "en", None)]
+    got, taken, target = mixing.mix(docs_of(spark, rows), blocks=blocks).collect(), collections.Counter(), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(got) == len(rows) and len(target) == 502
+    assert all(abs(taken[s] - t) <= 2 for s, t in target.items())
+    assert abs(sum(taken.values()) - sum(target.values())) <= 1
+
+
+def test_seats_are_highest_quotients(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        n = rng.randrange(1, 30)
+        share = [rng.random() ** 4 * 40 for _ in range(n)]
+        most, total = [math.floor(x) + rng.choice([1, 1, 9]) for x in share], round(sum(share))
+        claims = spark.createDataFrame([(0, i, x, m, total) for i, (x, m) in enumerate(zip(share, most))], "all int, name int, share double, most long, seats long")
+        won = {r["name"]: r["won"] for r in mixing.seats(claims, "all", "name").collect()}
+        quotients = sorted((-x / (2 * k + 1), i) for i, (x, m) in enumerate(zip(share, most)) for k in range(m))
+        want = collections.Counter(i for _, i in quotients[:total])
+        assert won == {i: want[i] for i in range(n)}
+
+
 def test_sharding(spark):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randrange(0, 300), "en", "s") for i in range(500)] + [(7, "y" * 5000, "en", "s"), (8, None, "en", "s"), (None, "", "en", "s")]

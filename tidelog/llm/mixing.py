@@ -43,20 +43,44 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap:
     return s.select("source", "source_size", "total", "saturated", F.when(free, F.col("level") * F.col("weight")).otherwise(F.col("most")).alias("target"))
 
 
+def seats(claims: DataFrame, group: str, name: str) -> DataFrame:
+    """(group, name, won) by Sainte-Lague: in each ``group`` (of equal ``seats``)
+    the seats go to the highest quotients ``share / (2k + 1)``, at most ``most``
+    a claim.
+
+    Shares sum to the seats but for rounding and none is above its ``most``. So
+    a claim wins its share give or take half of the largest share's ratio to
+    the mean, and rounding: only quotients in there are compared.
+    """
+    whole = Window.partitionBy(group)
+    ratio = F.max("share").over(whole) / F.greatest(F.avg("share").over(whole), F.lit(1e-300))
+    c = claims.withColumn("near", F.ceil(ratio).cast("long") + 3).withColumn("whole", F.floor("share"))
+    c = c.withColumn("sure", F.greatest(F.lit(0).cast("long"), F.col("whole") - F.col("near")))
+    c = c.withColumn("due", F.col("seats") - F.sum("sure").over(whole))
+    upto = F.least(F.col("most").cast("long"), F.col("whole") + F.col("near") + 1) - 1
+    k = c.filter(F.col("most") > F.col("sure")).withColumn("k", F.explode(F.sequence(F.col("sure"), upto)))
+    best = whole.orderBy((F.col("share") / (2 * F.col("k") + 1)).desc(), F.col(name).asc_nulls_last(), "k")
+    more = k.withColumn("r", F.row_number().over(best)).filter("r <= due").groupBy(group, name).agg(F.count(F.lit(1)).alias("more"))
+    on = F.expr(f"c.{group} <=> m.{group} and c.{name} <=> m.{name}")
+    return c.alias("c").join(more.alias("m"), on, "left").selectExpr(f"c.{group}", f"c.{name}", "c.sure + coalesce(m.more, 0) as won")
+
+
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, blocks: int = 16384, shards: int = 16, buckets: int = 1024, seed: int = 17) -> DataFrame:
     """Take words of every document so that each source comes near its target.
 
     ``docs`` needs doc_id, text and source; other columns are ignored. Each
     source's words are laid end to end: ``buckets`` parts by a seeded hash, each
     part in seeded order, so that a source of any size is dealt over many tasks.
-    The line is cut into equal blocks of ``total target / blocks`` words. A
-    source whose target is its cap takes every block ``cap`` times. The others
-    get their blocks by highest quotients ``target / (2k + 1)``; a source's
-    blocks are dealt to its ``shards`` in the same way, and each shard takes
-    its quota in seeded order, so no block is taken over ``cap`` times. The
-    block table has about ``blocks`` rows whatever the input, one at least for
-    each source, and is broadcast up to ``SOURCES`` sources; no document is
-    gathered anywhere.
+    Words are the seats: a source whose target is its cap gets every word
+    ``cap`` times, the others get words by highest quotients
+    ``target / (2k + 1)``. What a source's quota leaves over whole copies of its
+    line is dealt to its ``shards`` in the same way. The line is cut into blocks
+    of ``total target / blocks`` words; each shard takes its quota from blocks
+    in seeded order, and of the last of them only the words still due, so the
+    blocks' size has no part in a source's quota and no word is taken over
+    ``cap`` times. The block table has at most ``blocks`` rows and one for each
+    source, and is broadcast up to ``SOURCES`` sources; no document is gathered
+    anywhere.
 
     Returns doc_id, source, size, source_size, target, taken, one row per row.
     Null or empty text: size 0, taken 0. Null source: a source of its own, last
@@ -70,36 +94,26 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
     targets = store(source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, float(cap)), "targets")
     totals = targets.agg(F.count(F.lit(1)).alias("sources"), F.max("total").alias("total"), F.sum(F.when(~F.col("saturated"), F.col("target"))).alias("open")).first()
     b = max(1, -int(-(totals["total"] or 0) // blocks))
-    seats = int(round((totals["open"] or 0) / b))
-
-    s = targets.withColumn("n", F.ceil(F.col("source_size") / F.lit(b)).cast("long"))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") * cap, F.ceil(F.col("target") / b) + 2) - 1)).alias("k")
-    claims = s.filter("not saturated and n > 0").select("source", "target", k)
-    won = claims.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k").limit(seats)
-    quota = won.groupBy("source").agg(F.count(F.lit(1)).alias("quota"))
-    s = s.alias("s").join(quota.alias("q"), F.expr("s.source <=> q.source"), "left").selectExpr("s.*", "case when s.saturated then s.n * %d else coalesce(q.quota, 0) end as quota" % cap)
-    s = store(s, "quotas")
-
-    block = s.filter("n > 0").select("source", "n", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
-    block = block.withColumn("shard", F.floor(F.col("block") * shards / F.col("n")).cast("int"))
-    own = block.groupBy("source", "shard", "quota").agg(F.count(F.lit(1)).alias("blocks"))
-    total = F.col("quota").cast("double") * F.col("blocks") / F.col("n")
-    own = own.join(s.select(F.col("source").alias("s2"), "n"), F.expr("source <=> s2")).drop("s2")
-    own = own.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("blocks") * cap, F.ceil(total) + 2) - 1)))
-    best = Window.partitionBy("source").orderBy((F.col("blocks") / (2 * F.col("k") + 1)).desc(), "shard", "k")
-    dealt = own.withColumn("r", F.row_number().over(best)).filter("r <= quota").groupBy("source", "shard").agg(F.count(F.lit(1)).alias("shard_quota"))
-
-    drawn = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block")
-    whole = Window.partitionBy("source", "shard")
-    block = block.withColumn("draw", F.row_number().over(drawn)).withColumn("in_shard", F.count(F.lit(1)).over(whole))
-    block = block.alias("b").join(dealt.alias("q"), F.expr("b.source <=> q.source and b.shard = q.shard"), "left").selectExpr("b.*", "coalesce(q.shard_quota, 0) as shard_quota")
-    times = F.expr("shard_quota div in_shard") + F.when(F.col("draw") <= F.col("shard_quota") % F.col("in_shard"), 1).otherwise(0)
-    ends = s.select("source", F.col("n").alias("block"), F.lit(0).cast("long").alias("times"))
-    block = block.select("source", "block", times.cast("long").alias("times")).unionByName(ends)
+
+    open_ = targets.filter("not saturated").select("source", F.lit(0).alias("all"), F.col("target").alias("share"), (F.col("source_size") * cap).alias("most"))
+    won = seats(open_.withColumn("seats", F.lit(int(round(totals["open"] or 0)))), "all", "source")
+    s = targets.alias("s").join(won.alias("q"), F.expr("s.source <=> q.source"), "left").selectExpr("s.*", f"case when s.saturated then s.source_size * {cap} else q.won end as quota")
+    s = s.withColumn("n", F.ceil(F.col("source_size") / F.lit(b)).cast("long")).withColumn("base", F.expr("quota div greatest(source_size, 1)"))
+    s = store(s.withColumn("rest", F.col("quota") - F.col("base") * F.col("source_size")), "quotas")
+
+    block = s.filter("rest > 0").select("source", "source_size", "n", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
+    block = block.withColumn("shard", F.floor(F.col("block") * shards / F.col("n")).cast("int")).withColumn("length", F.least(F.lit(b), F.col("source_size") - F.col("block") * b))
+    own = block.groupBy("source", "shard", "source_size", "rest").agg(F.sum("length").alias("most"))
+    share = F.col("rest").cast("double") * F.col("most") / F.col("source_size")
+    dealt = seats(own.select("source", "shard", share.alias("share"), "most", F.col("rest").alias("seats")), "source", "shard")
+
+    drawn = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "source", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    block = block.withColumn("drawn", F.coalesce(F.sum("length").over(drawn), F.lit(0)))
+    block = block.alias("b").join(dealt.alias("q"), F.expr("b.source <=> q.source and b.shard = q.shard")).selectExpr("b.source", "b.block", "greatest(0, least(b.length, q.won - b.drawn)) as extra")
     run = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    block = block.withColumn("before", F.coalesce(F.sum("times").over(run), F.lit(0)))
-    plan = block.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("block", "times", "before"))).alias("plan"))
-    plan = plan.alias("p").join(s.alias("s"), F.expr("p.source <=> s.source")).selectExpr("s.source as plan_source", "source_size", "target", "plan")
+    block = block.withColumn("before", F.coalesce(F.sum("extra").over(run), F.lit(0)))
+    plan = block.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("block", "extra", "before"))).alias("plan"))
+    plan = s.alias("s").join(plan.alias("p"), F.expr("p.source <=> s.source"), "left").selectExpr("s.source as plan_source", "source_size", "target", "base", "plan")
 
     first = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = store(parts.withColumn("offset", F.coalesce(F.sum("words").over(first), F.lit(0))).select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset"), "offsets")
@@ -109,8 +123,10 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
     few = totals["sources"] <= SOURCES
     d = d.join(F.broadcast(plan) if few else plan, F.expr("source <=> plan_source"))
     d = d.withColumn("until", F.col("offset") + F.col("run")).withColumn("since", F.col("until") - F.col("size"))
-    upto = "(plan[cast({0} div {1} as int)].before * {1} + plan[cast({0} div {1} as int)].times * ({0} % {1}))"
-    return d.select("doc_id", "source", "size", "source_size", "target", F.expr(f"{upto.format('until', f'{b}L')} - {upto.format('since', f'{b}L')}").cast("long").alias("taken"))
+    at = f"plan[cast(least({{0}} div {b}, size(plan) - 1) as int)]"
+    upto = f"({at}.before + least({at}.extra, {{0}} - {at}.block * {b}))"
+    extra = F.expr(f"case when plan is null then 0 else {upto.format('until')} - {upto.format('since')} end")
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("base") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
