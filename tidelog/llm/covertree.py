@@ -10,12 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, store
-from tidelog.llm.vectors import matrix, usable
+from tidelog.llm.common import columns, components, store
+from tidelog.llm.vectors import lists, matrices, matrix
 
-#: Vectors a tree, pivots that place vectors near each other in one tree, and
-#: bytes of trees that go to the executors at a time.
-PER_TREE, PIVOTS, BLOCK = 2048, 256, 32 << 20
+#: Vectors a tree; at most so many pivots, in whose cells the trees stand; bytes
+#: of trees in a group, and groups at least (if there are so many trees).
+PER_TREE, PIVOTS, GROUP, GROUPS = 2048, 1024, 32 << 20, 8
 #: Nodes of so few vectors aren't split.
 LEAF = 16
 
@@ -91,6 +91,32 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
 
 
+def near_cells(t: CoverTree, reach: np.ndarray, far: float) -> list[tuple[int, int, float]]:
+    """Dual traversal of the tree of pivots, the upper levels above all trees: pairs
+    (ids[i], ids[j], d - far) of cells whose vectors may be ``far`` or less apart,
+    by the distance d of the pivots and the cells' ``reach`` (by row) around them."""
+    n = len(t.first)
+    span = np.array([(_distance(t.x[[t.centre[k]]], t.x[t.first[k] : t.last[k]])[0] + reach[t.first[k] : t.last[k]]).max() for k in range(n)])
+    centre, span = np.concatenate([t.centre, np.arange(len(t.x))]), np.concatenate([span, reach])
+
+    def opened(k: int) -> np.ndarray:  # numbers from n on are rows
+        if k >= n:
+            return np.array([k])
+        return np.arange(t.child[k], t.child[k] + t.kids[k]) if t.kids[k] else n + np.arange(t.first[k], t.last[k])
+
+    todo, out = [(0, 0)], []
+    while todo:
+        p, q = (opened(k) for k in todo.pop())
+        d = _distance(t.x[centre[p]], t.x[centre[q]])
+        i, j = np.nonzero(d <= span[p][:, None] + span[q][None, :] + far + 1e-7)
+        for u, v, w in zip(p[i].tolist(), q[j].tolist(), d[i, j].tolist()):
+            if u >= n and v >= n:
+                out.append((int(t.ids[u - n]), int(t.ids[v - n]), w - far - 1e-7))
+            else:
+                todo.append((u, v))
+    return out
+
+
 class Links:
     """Link counts of two trees' rows, and what joins them, without all pairs."""
 
@@ -157,7 +183,8 @@ class Links:
         it is too far apart, counted if all of it is linked, else opened."""
         a, b = self.a, self.b
         far = np.sqrt(2 - 2 * threshold)
-        todo = [(0, 0)]
+        apart = _distance(a.x[[a.centre[0]]], b.x[[b.centre[0]]])[0, 0]
+        todo = [(0, 0)] if apart <= far + a.radius[0] + b.radius[0] + 1e-7 else []
         while todo:
             p, q = todo.pop()
             once = self.same and p == q
@@ -210,108 +237,166 @@ class Links:
         return ids[some], ids[roots] if len(roots) else ids[:0], n[some]
 
 
+def _unit(batches):
+    """(vec_id, embedding) to (vec_id, x): x has length 1, or is null where the vector
+    takes no part."""
+    for b in batches:
+        rest = np.ones(b.num_rows, bool)
+        for rows, x in matrices(b.column(1)):
+            top = np.abs(x).max(1)
+            rows, x = rows[top > 0], x[top > 0] / top[top > 0, None]  # scaled first: no square over- or underflows
+            rest[rows] = False
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), lists(x / np.sqrt((x * x).sum(1))[:, None])], names=["vec_id", "x"])
+        ids = b.column(0).filter(pa.array(rest))
+        yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.list_(pa.float64()))], names=["vec_id", "x"])
+
+
 def _place(pivots):
+    """Adds the number of each vector's nearest pivot."""
+
     def run(batches):
         for b in batches:
-            near = (matrix(b.column(2)) @ pivots.value.T).argmax(1) if b.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=["rep", "weight", "x", "pivot"])
+            near = (matrix(b.column(2)) @ pivots.value.x.T).argmax(1) if b.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=["node", "weight", "x", "cell"])
 
     return run
 
 
-def _plant(batches):
-    ids, weight, x = [], [], []
-    for b in batches:
-        ids.append(b.column(0).to_numpy())
-        weight.append(b.column(1).to_numpy())
-        x.append(matrix(b.column(2)))
-    if not ids or not sum(map(len, ids)):
-        return
-    ids, weight, x = map(np.concatenate, (ids, weight, x))
-    task = TaskContext.get().partitionId() << 32
-    for i in range(0, len(ids), 2 * PER_TREE):
-        t = CoverTree(*(c[i : i + 2 * PER_TREE] for c in (ids, weight, x)))
-        yield pa.RecordBatch.from_arrays([pa.array([task + i]), pa.array([pickle.dumps(t)], pa.binary())], names=["tree", "body"])
-
-
-def _against(held, threshold: float):
+def _plant(pivots, per_tree: int, per_group: int):
+    """Trees of at most ``per_tree`` rows of one cell each, from rows sorted by cell;
+    ``reach`` is how far a tree's rows are from the cell's pivot."""
+
     def run(batches):
-        others = [(k, pickle.loads(body)) for k, body in held.value]
+        task, made = TaskContext.get().partitionId(), 0
+
+        def trees(waiting, last: bool):
+            nonlocal made
+            cell, node, weight, x = (np.concatenate(c) for c in zip(*waiting))
+            edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for a, b in zip(edges, edges[1:]):
+                for i in range(a, b, per_tree):
+                    j = min(i + per_tree, b)
+                    if j == len(cell) and not last and j - i < per_tree:
+                        return [(cell[i:], node[i:], weight[i:], x[i:])]
+                    t, reach = CoverTree(node[i:j], weight[i:j], x[i:j]), float(_distance(pivots.value.x[[cell[i]]], x[i:j]).max())
+                    out.append((task << 32 | made, task << 16 | made // per_group, int(cell[i]), reach, pickle.dumps(t)))
+                    made += 1
+            return []
+
+        waiting, out = [], []
+        names = ["tree", "grp", "cell", "reach", "body"]
         for b in batches:
-            for k, body in zip(b.column(0).to_pylist(), b.column(1)):
-                t = pickle.loads(body.as_py())
-                for other, tree in others:
-                    if k <= other:
-                        links = Links(t if k != other else tree, tree)
-                        links.visit(threshold)
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in links.found()], names=["rep", "root", "n"])
+            if b.num_rows:
+                waiting.append((b.column(3).to_numpy(), b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))))
+            if sum(len(w[0]) for w in waiting) >= 2 * per_tree:
+                waiting = trees(waiting, False)
+            while out:
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in out.pop(0)], names=names)
+        if waiting:
+            trees(waiting, True)
+        while out:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in out.pop(0)], names=names)
 
     return run
 
 
+def _group_pair(threshold: float):
+    """Traverses every two trees of a pair of groups, each two once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        grp, tree = group.column("grp").to_numpy(), group.column("tree").to_numpy()
+        bodies = group.column("body")
+        mine = [i for i in range(len(grp)) if grp[i] == grp.min()]
+        other = [i for i in range(len(grp)) if grp[i] == grp.max()]
+        found = [[], [], []]
+        held = {i: pickle.loads(bodies[i].as_py()) for i in other}
+        for i in mine:
+            t = held[i] if i in held else pickle.loads(bodies[i].as_py())
+            for j in other:
+                if grp[i] != grp[j] or tree[i] <= tree[j]:
+                    links = Links(t, held[j])
+                    links.visit(threshold)
+                    for k, c in enumerate(links.found()):
+                        found[k].append(c)
+        return pa.table({name: pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for name, c in zip(("node", "root", "n"), found)})
+
+    return run
+
+
+def _linked(nodes: DataFrame, dim: int, n: int, threshold: float, per_tree: int) -> DataFrame:
+    """(node, root, n) for the ``n`` nodes of one vector length: see ``near_duplicates``."""
+    spark = nodes.sparkSession
+    mine = nodes.filter(F.size("x") == dim).select("node", "weight", "x")
+    sample = mine.orderBy(F.xxhash64("x"), "node").limit(max(1, min(PIVOTS, n // max(1, per_tree // 4)))).select("x").toArrow()
+    upper = CoverTree(np.arange(sample.num_rows), np.ones(sample.num_rows, np.int64), matrix(sample.column(0)))
+    upper.ids = np.arange(sample.num_rows)  # cells are numbered in the tree's order, so near ones follow each other
+    pivots = spark.sparkContext.broadcast(upper)
+    per_group = max(1, min(GROUP // (8 * dim * per_tree), -(-n // per_tree) // GROUPS))
+    parts = -(-n // (per_tree * per_group))
+    near = mine.mapInArrow(_place(pivots), "node long, weight long, x array<double>, cell int")
+    near = near.repartitionByRange(parts, "cell", F.xxhash64("node")).sortWithinPartitions("cell").select("node", "weight", "x", "cell")
+    trees = store(near.mapInArrow(_plant(pivots, per_tree, per_group), "tree long, grp long, cell long, reach double, body binary"), "trees")
+
+    cells = trees.groupBy("grp", "cell").agg(F.max("reach").alias("reach"))
+    reach = np.zeros(len(upper.x))
+    for r in cells.groupBy("cell").agg(F.max("reach").alias("reach")).collect():  # one number per pivot
+        reach[r["cell"]] = r["reach"]
+    pairs = near_cells(upper, reach, float(np.sqrt(2 - 2 * threshold)))  # at most one per two pivots
+    pairs = spark.createDataFrame(pa.table({"cell": pa.array([p[0] for p in pairs], pa.int64()), "other": pa.array([p[1] for p in pairs], pa.int64()), "gap": pa.array([p[2] for p in pairs], pa.float64())}))
+    left = cells.select(F.col("grp").alias("gi"), "cell", F.col("reach").alias("ri")).join(pairs, "cell")
+    right = cells.select(F.col("grp").alias("gj"), F.col("cell").alias("other"), F.col("reach").alias("rj"))
+    meet = store(left.join(right, "other").filter("gi <= gj and ri + rj >= gap").select("gi", "gj").distinct(), "group-pairs")
+    sent = meet.select(F.col("gi").alias("grp"), "gi", "gj").unionByName(meet.filter("gi < gj").select(F.col("gj").alias("grp"), "gi", "gj"))
+    both = trees.select("tree", "grp", "body").join(sent, "grp")
+    return store(both.groupBy("gi", "gj").applyInArrow(_group_pair(threshold), "node long, root long, n long"), "links")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, per_tree: int = PER_TREE) -> DataFrame:
     """Links of cosine ``threshold`` or more (double precision) between all rows
     of ``vectors`` (vec_id, embedding), and their connected components.
 
-    Equal vectors are one node with a weight. Nodes are ordered by their nearest
-    of ``PIVOTS`` sampled vectors and cut into trees of about ``per_tree``, so a
-    crowded region is spread over many. Each tree is written once; blocks of
-    trees of at most ``BLOCK`` bytes go to the executors in turn, where every
-    tree is traversed together with those of the block, each pair of trees
-    once. A pair of tree nodes is dropped when its centres are further apart
-    than both radii and the threshold distance, and counted as a whole when
-    every pair in it must be linked; so groups of near copies send link counts
-    and a spanning forest, never all their pairs.
+    Equal vectors are one node with a weight. Nodes belong to the cell of their
+    nearest of at most ``PIVOTS`` sampled vectors; a cell's nodes make trees of
+    at most ``per_tree``, trees in the order of cells make groups. A cover tree
+    over the pivots is the upper part of all trees: its dual traversal, with
+    radii that cover the cells, leaves the pairs of cells, and so of groups,
+    that may hold a link. Each such pair of groups is one task of bounded size,
+    to which the trees come by a shuffle; there every two trees are traversed
+    together. A pair of tree nodes is dropped when its centres are further
+    apart than both radii and the threshold distance, and counted as a whole
+    when every pair in it must be linked; so groups of near copies send link
+    counts and a spanning forest, never all their pairs. Where vectors are so
+    spread that no bound applies, all pairs of groups remain: exact threshold
+    pairs of such data take quadratic work by this method.
 
     Returns vec_id, n_links, component_id, kept, one row per row. Vectors that
     are null, empty or zero or hold null or non-finite components link with
     nothing (0 links, their own component). Vectors of different lengths don't
-    link. Rows that repeat an id are vectors of their own in n_links and one
-    node in components. A null id: null component, kept null, no links. Other
-    columns are ignored; an empty table gives no rows.
+    link. Rows that repeat an id are vectors of their own, each with its own
+    links and component; so are rows with a null id, which take part and get
+    the smallest known id of their component, or null, and kept null. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    top = F.array_max(F.transform("x", F.abs))  # scaled first: no square over- or underflows
-    v = usable(vectors).withColumn("top", top).filter("top > 0").withColumn("x", F.transform("x", lambda c: c / F.col("top")))
-    v = v.withColumn("norm", norm).withColumn("x", F.transform("x", lambda c: c / F.col("norm")))
-    v = v.select("vec_id", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"), "x")
-    nodes = store(v.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min("x").alias("x")), "nodes")
+    d = columns(vectors, "vec_id", "embedding").withColumn("vec_id", F.col("vec_id").cast("long"))
+    unit = d.mapInArrow(_unit, "vec_id long, x array<double>").select("vec_id", "x", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
+    unit = store(unit, "unit")
+    v = unit.filter("x is not null")
+    nodes = v.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.any_value("x").alias("x"))
+    nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     found = None
     for r in nodes.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect():  # one row per vector length
-        mine = nodes.filter(F.size("x") == r["dim"]).select("rep", "weight", "x")
-        sample = mine.orderBy(F.xxhash64("x"), "rep").limit(PIVOTS).toPandas()
-        pivots = spark.sparkContext.broadcast(np.stack(sample["x"].to_numpy()))
-        near = mine.mapInArrow(_place(pivots), "rep long, weight long, x array<double>, pivot int")
-        parts = -(-r["n"] // per_tree)
-        trees = store(near.repartitionByRange(parts, "pivot", F.xxhash64("rep"), "rep").select("rep", "weight", "x").mapInArrow(_plant, "tree long, body binary"), "trees")
-        sizes = sorted((t["tree"], t["n"]) for t in trees.select("tree", F.length("body").alias("n")).collect())  # one number per tree
-        while sizes:
-            block = [sizes.pop()]
-            while sizes and sum(n for _, n in block) + sizes[-1][1] <= BLOCK:
-                block.append(sizes.pop())
-            low, high = block[-1][0], block[0][0]
-            bodies = [(t["tree"], bytes(t["body"])) for t in trees.filter(F.col("tree").between(low, high)).collect()]  # at most BLOCK bytes
-            held = spark.sparkContext.broadcast(bodies)
-            got = trees.filter(F.col("tree") <= high).mapInArrow(_against(held, threshold), "rep long, root long, n long")
-            got = store(got, "links")  # one block's trees are held at a time
-            held.unpersist()
-            found = got if found is None else found.unionByName(got)
+        got = _linked(nodes, r["dim"], r["n"], threshold, per_tree)
+        found = got if found is None else found.unionByName(got)
     if found is None:
-        links = spark.createDataFrame([], "rep long, other long")
-        joined = spark.createDataFrame([], "node long, component long")
-    else:
-        links = found.groupBy("rep").agg(F.sum("n").alias("other"))
-        joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    known = store(nodes.select("rep", "h1", "h2", "weight").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left"), "known")
-    known = known.select("h1", "h2", "rep", "weight", F.coalesce("other", F.lit(0)).alias("other"), F.coalesce("component", "rep").alias("component_id"))
-    linked = v.select("vec_id", "h1", "h2").join(known, ["h1", "h2"])
-    linked = linked.select("vec_id", (F.col("weight") - 1 + F.col("other")).alias("n_links"), "component_id")
-    # rows that take no part
-    x = F.transform("embedding", lambda c: c.cast("double"))
-    bad = F.coalesce(F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(True))
-    some = F.coalesce(F.exists(x, lambda c: c != 0), F.lit(False))
-    rest = vectors.filter(F.col("vec_id").isNull() | bad | ~some)
-    rest = rest.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+        found = spark.createDataFrame([], "node long, root long, n long")
+    links = found.groupBy("node").agg(F.sum("n").alias("other"))
+    joined = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    known = nodes.select("node", "rep", "h1", "h2", "weight").join(links, "node", "left").join(joined, "node", "left")
+    known = store(known.withColumn("component", F.coalesce("component", "node")), "known")
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = store(known.join(least, "component").select("h1", "h2", "component_id", (F.col("weight") - 1 + F.coalesce("other", F.lit(0))).alias("n_links")), "known")
+    linked = v.select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    rest = unit.filter("x is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x array<double>) of the rows with an id whose vector is neither
-    null nor empty and holds only finite components."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    return d.filter("vec_id is not null and x is not null and size(x) > 0").filter(~bad)
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each vector length of a list column: the numbers of its rows, and the
+    vectors as a matrix of doubles. Vectors that are null or empty or hold null
+    or non-finite components are left out."""
+    size = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    start = np.cumsum(size) - size
+    for dim in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == dim)
+        x = flat[start[rows][:, None] + np.arange(dim)]
+        good = np.isfinite(x).all(1)
+        yield rows[good], x[good]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -23,3 +31,18 @@ def matrix(column: pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    """A matrix as a list column."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if x.ndim == 2 else 0)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.ravel()))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, x array<double>) of the rows with an id whose vector is neither
+    null nor empty and holds only finite components."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    return d.filter("vec_id is not null and x is not null and size(x) > 0").filter(~bad)
