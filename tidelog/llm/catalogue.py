@@ -57,13 +57,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) as x from embeddings
-  where vec_id is not null and len(embedding) > 0
-    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) as x from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
 s as (
-  select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT as score
-  from v q join v on q.vec_id <> v.vec_id and len(q.x) = len(v.x) where q.vec_id % 50 = 0),
-r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::INTEGER as rank, vec_id, score from s)
+  select q.n, q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT as score
+  from v q join v on q.n <> v.n and len(q.x) = len(v.x) where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by n order by score desc, vec_id nulls last)::INTEGER as rank, vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 

@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import store
-from tidelog.llm.vectors import matrix, usable
+from tidelog.llm.common import columns, store
+from tidelog.llm.vectors import lists, matrices, matrix
 
-#: Queries that go to the executors at a time.
-BLOCK = 4096
+#: Bytes of queries that go to the executors at a time, and queries and
+#: candidates that are compared at a time.
+BLOCK, TOGETHER = 32 << 20, 1024
+NOTHING = np.iinfo(np.int64).min
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -30,32 +32,45 @@ def levels(dim: int) -> list[int]:
     return [n for n in (4**k for k in range(16)) if n == 1 or n * 2 <= dim]
 
 
+def products(a: np.ndarray, b: np.ndarray, top: float) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact as longs; ``top`` bounds
+    their size. Beyond the range of longs they stay at its ends."""
+    if top < 2**53:
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    if top < 2**63 and max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < 2**63:
+        return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+    whole = (sum(int(p) * int(q) for p, q in zip(r, s)) for r, s in zip(a, b))
+    return np.array([max(NOTHING + 1, min(2**63 - 1, w)) for w in whole], np.int64)
+
+
 class Search:
-    """A block of queries, and the k best candidates for each so far."""
+    """A block of queries, and the k best candidates for each so far. Rows are told
+    apart by their place ``at``; ``key`` is the id by which ties are broken."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
+    def __init__(self, at: np.ndarray, x: np.ndarray, k: int):
+        self.at, self.x, self.k = at, x, k
         self.levels = levels(x.shape[1])
         self.stats = [statistics(x, n) for n in self.levels]
         self.norm = (x**2).sum(1)
-        self.score = np.full((len(ids), k), -np.inf)
-        self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.top = np.abs(x).max(initial=0) * x.shape[1]
+        self.score = np.full((len(at), k), NOTHING)
+        self.key = np.full((len(at), k), np.iinfo(np.int64).max)
+        self.null = np.ones((len(at), k), bool)
         self.exact = 0
 
-    def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def offer(self, at: np.ndarray, key: np.ndarray, null: np.ndarray, x: np.ndarray) -> None:
         """Candidates go through the levels: a pair survives while its lower-bound
         distance allows a score that reaches the query's k-th; then exact scores."""
-        norm = (x**2).sum(1)
-        full = self.score[:, -1] > -np.inf
+        full = self.score[:, -1] > NOTHING
         if not full.all():  # first candidates: the exact scores of a few set the bar
-            few = min(len(ids), 4 * self.k)
-            self._take(np.repeat(np.arange(len(self.ids)), few), np.tile(np.arange(few), len(self.ids)), ids, x)
-            ids, x, norm = ids[few:], x[few:], norm[few:]
-        if not len(ids):
+            few = min(len(at), 4 * self.k)
+            self._take(np.repeat(np.arange(len(self.at)), few), np.tile(np.arange(few), len(self.at)), at, key, null, x)
+            at, key, null, x = at[few:], key[few:], null[few:], x[few:]
+        if not len(at):
             return
-        both = self.norm[:, None] + norm[None, :]
+        both = self.norm[:, None] + (x**2).sum(1)[None, :]
         slack = 1e-9 * (both + 1)
-        worst = both - 2 * self.score[:, -1:] + slack  # a larger squared distance can't reach the k-th score
+        worst = both - 2 * self.score[:, -1:].astype(float) + slack  # a larger squared distance can't reach the k-th score
         q = c = None
         for n, stats in zip(self.levels, self.stats):
             s = statistics(x, n)
@@ -73,97 +88,115 @@ class Search:
                     a, b = q[i : i + (1 << 18)], c[i : i + (1 << 18)]
                     keep[i : i + (1 << 18)] = ((stats[a] - s[b]) ** 2).sum(1) - slack[a, b] <= worst[a, b]
                 q, c = q[keep], c[keep]
-        self._take(q, c, ids, x)
+        self._take(q, c, at, key, null, x)
 
-    def _take(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        score = np.empty(len(q))
+    def _take(self, q, c, at, key, null, x) -> None:
+        top, score = self.top * np.abs(x).max(initial=0), np.empty(len(q), np.int64)
         for i in range(0, len(q), 1 << 17):
             a, b = q[i : i + (1 << 17)], c[i : i + (1 << 17)]
-            score[i : i + (1 << 17)] = np.einsum("ij,ij->i", self.x[a], x[b])  # whole numbers below 2^53: exact
+            score[i : i + (1 << 17)] = products(self.x[a], x[b], top)
         self.exact += len(q)
-        better = (ids[c] != self.ids[q]) & (score >= self.score[q, -1])
-        q, vec, score = q[better], ids[c[better]], score[better]
-        q = np.concatenate([q, np.repeat(np.arange(len(self.ids)), self.k)])
-        vec, score = np.concatenate([vec, self.vec.ravel()]), np.concatenate([score, self.score.ravel()])
-        order = np.lexsort((vec, -score, q))
-        q, vec, score = q[order], vec[order], score[order]
-        starts = np.searchsorted(q, np.arange(len(self.ids)))
-        top = starts[:, None] + np.arange(self.k)[None, :]
-        self.vec, self.score = vec[top], score[top]
-
-    def found(self):
-        at = np.nonzero(self.score > -np.inf)
-        return self.ids[at[0]], self.vec[at], self.score[at].astype(np.int64)
+        better = (at[c] != self.at[q]) & (score >= self.score[q, -1])
+        q, c, score = q[better], c[better], score[better]
+        q = np.concatenate([q, np.repeat(np.arange(len(self.at)), self.k)])
+        key, null, score = (np.concatenate([new, old.ravel()]) for new, old in ((key[c], self.key), (null[c], self.null), (score, self.score)))
+        order = np.lexsort((null, key, ~score, q))  # ~score: highest first
+        q, key, null, score = q[order], key[order], null[order], score[order]
+        starts = np.searchsorted(q, np.arange(len(self.at)))
+        best = starts[:, None] + np.arange(self.k)[None, :]
+        self.key, self.null, self.score = key[best], null[best], score[best]
+
+    def found(self) -> list[pa.Array]:
+        """at of the query, id of the candidate, score."""
+        at = np.nonzero(self.score > NOTHING)
+        return [pa.array(self.at[at[0]]), pa.array(self.key[at], mask=self.null[at]), pa.array(self.score[at])]
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x) with every component turned into floor(256 * component)."""
-    return usable(vectors).withColumn("x", F.transform("x", lambda v: F.floor(v * 256).cast("double")))
+    """(at, vec_id, x) of the rows that take part: every component floor(256 * c),
+    ``at`` the row's number. Vectors that are null or empty, hold null or
+    non-finite components, or leave the range of doubles when multiplied, don't."""
+
+    def run(batches):
+        for b in batches:
+            for rows, x in matrices(b.column(1)):
+                with np.errstate(over="ignore"):
+                    x = np.floor(256 * x)
+                good = np.isfinite(x).all(1)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[good])), lists(x[good])], names=["vec_id", "x"])
+
+    d = columns(vectors, "vec_id", "embedding").withColumn("vec_id", F.col("vec_id").cast("long"))
+    return store(d.mapInArrow(run, "vec_id long, x array<double>").withColumn("at", F.monotonically_increasing_id()), "quantised")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """The ``k`` vectors of largest inner product for each query, other ids only.
-
-    Both tables: (vec_id, x array<double> of whole numbers). Queries of one
-    length go to the executors in blocks of at most ``block``; every partition
-    of the candidates is read against the block and keeps its k best per query.
-    A pair is dropped at the first resolution whose lower-bound distance d
-    satisfies (|q|^2 + |x|^2 - d^2) / 2 < the k-th score so far, so no pair that
-    belongs to the result is lost. The partitions' bests are merged per query.
-    Where there is more than one block, each one's bests are written before the
-    next goes out, so that no more than one block of queries is held at a time.
-
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id.
-    Vectors of another length than the query's are no candidates. Rows that
-    repeat an id are candidates each; a query id that repeats is asked once,
-    by its first vector. Empty tables give no rows.
+    """The ``k`` vectors of largest inner product for each query, all but itself.
+
+    Both tables: (at, vec_id, x array<double> of whole numbers), where ``at``
+    tells rows apart and is the same for a row in both. Queries of one length
+    go to the executors in blocks of about ``block`` bytes, which is what the
+    driver and each task hold of them; every partition of the candidates is
+    read against the block and keeps its k best per query. A pair is dropped
+    at the first resolution whose lower-bound distance d satisfies
+    (|q|^2 + |x|^2 - d^2) / 2 < the k-th score so far, so no pair that belongs
+    to the result is lost. The partitions' bests are merged per query. Where
+    there is more than one block, each one's bests are written before the next
+    goes out.
+
+    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id,
+    a null id last. Scores are exact; beyond the range of longs they stay at
+    its ends. Vectors of another length than the query's are no candidates.
+    Rows that repeat an id are candidates and queries each for itself. Empty
+    tables give no rows.
     """
     spark = vectors.sparkSession
-    asked = queries.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
-    asked = store(asked, "queries")
+    asked = store(queries.withColumn("dim", F.size("x")), "queries")
     counts = asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # one row per vector length
-    found, several = None, sum(-(-r["n"] // block) for r in counts) > 1
-    for r in counts:
-        parts = -(-r["n"] // block)
-        for part in range(parts):
-            # the part of a query is a range of its rank by hash, found without sorting on one task
-            mine = asked.filter(F.col("dim") == r["dim"])
-            if parts > 1:
-                mine = mine.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
-            rows = mine.select("vec_id", "x").toPandas()
-            for i in range(0, len(rows), block):
-                now = rows.iloc[i : i + block]
-                held = spark.sparkContext.broadcast((now["vec_id"].to_numpy(np.int64), np.stack(now["x"].to_numpy()).astype(float)))
-                got = vectors.filter(F.size("x") == r["dim"]).select("vec_id", "x").mapInArrow(_partition(held, k), "query_id long, vec_id long, score long")
-                if several:
-                    got = store(got, "bests")
-                    held.unpersist()
-                found = got if found is None else found.unionByName(got)
+    parts = {r["dim"]: -(-8 * r["dim"] * r["n"] // block) for r in counts}
+    found = None
+    for dim, n in parts.items():
+        for part in range(n):
+            mine = asked.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("at"), F.lit(n)) == part)).select("at", "x").toArrow()  # about `block` bytes
+            held = spark.sparkContext.broadcast((mine.column(0).to_numpy(), matrix(mine.column(1))))
+            got = vectors.filter(F.size("x") == dim).select("at", "vec_id", "x").mapInArrow(_partition(held, k), "at long, vec_id long, score long")
+            if sum(parts.values()) > 1:
+                got = store(got, "bests")
+                held.unpersist()
+            found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("at").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = ranked.join(asked.select("at", F.col("vec_id").alias("query_id")), "at")
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _partition(held, k: int):
     def run(batches):
-        s = None
+        all_ = None
         for b in batches:
-            s = s or Search(*held.value, k)
-            ids, x = b.column(0).to_numpy(), matrix(b.column(1))
-            for i in range(0, len(ids), 1024):
-                s.offer(ids[i : i + 1024], x[i : i + 1024])
-        if s is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in s.found()], names=["query_id", "vec_id", "score"])
+            if not b.num_rows:
+                continue
+            if all_ is None:
+                at, x = held.value
+                all_ = [Search(at[i : i + TOGETHER], x[i : i + TOGETHER], k) for i in range(0, len(at), TOGETHER)]
+            at, x, null = b.column(0).to_numpy(), matrix(b.column(2)), b.column(1).is_null().to_numpy(zero_copy_only=False)
+            key = b.column(1).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+            for s in all_:
+                for i in range(0, len(at), TOGETHER):
+                    part = slice(i, i + TOGETHER)
+                    s.offer(at[part], key[part], null[part], x[part])
+        for s in all_ or []:
+            yield pa.RecordBatch.from_arrays(s.found(), names=["at", "vec_id", "score"])
 
     return run
 
 
 def topk(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """``search`` for the rows of ``vectors`` (vec_id, embedding) whose id is
-    divisible by ``every`` against all others, over quantised components. Null
-    ids and vectors that are null, empty or hold null or non-finite components
-    take no part; other columns are ignored."""
+    divisible by ``every`` against all others, over quantised components.
+    Vectors that are null or empty or hold null or non-finite components take
+    no part; a null id is never a query, but a candidate. Other columns are
+    ignored, whatever their names."""
     x = quantised(vectors)
     return search(x, x.filter(F.col("vec_id") % every == 0), k)

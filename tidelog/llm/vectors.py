@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -37,12 +35,3 @@ def lists(x: np.ndarray) -> pa.Array:
     """A matrix as a list column."""
     ends = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if x.ndim == 2 else 0)
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.ravel()))
-
-
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x array<double>) of the rows with an id whose vector is neither
-    null nor empty and holds only finite components."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
-    return d.filter("vec_id is not null and x is not null and size(x) > 0").filter(~bad)
