@@ -1,4 +1,4 @@
-"""Line dedup over suffix ranks of line sequences."""
+"""Line dedup by a suffix array over line sequences."""
 
 from __future__ import annotations
 
@@ -7,12 +7,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import store
+from tidelog.llm.common import discard, numbered, place, store
 
 #: A line starts at a line feed that more than white space follows on the same
 #: line, so blank lines belong to the line before them.
 _CUT = r"\n(?=[^\S\n]*\S)"
 _BLANK = " \t\r\n\f\x0b"
+HERE = ("k1", "k2", "pos")
+
+
+def _sequences(docs: DataFrame) -> DataFrame:
+    """(k1, k2, h1, h2, lines) of each text: its lines that aren't blank, as
+    (pos, l1, l2, words), by two hashes each."""
+    d = docs.select("k1", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.split("text", _CUT).alias("l"))
+    d = d.withColumn("l", F.transform("l", lambda p: F.btrim(p, F.lit(_BLANK))))
+    each = "transform(l, (t, i) -> named_struct('pos', i, 'l1', xxhash64(t), 'l2', xxhash64(1, t), 'words', if(t = '', 0, size(split(t, '\\\\s+')))))"
+    return d.select("k1", F.col("h1").alias("k2"), "h1", "h2", F.expr(f"filter({each}, x -> x.words > 0)").alias("lines"))
 
 
 def _ranked(names: DataFrame, *keys: str) -> DataFrame:
@@ -21,106 +31,134 @@ def _ranked(names: DataFrame, *keys: str) -> DataFrame:
     return store(names.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def _lines(docs: DataFrame, m: int) -> DataFrame:
-    """(k1, k2, pos, h1, h2, words, ahead, back, near) for each line: ``ahead`` and
-    ``back`` are the lengths of the shortest runs of ``m`` words from and up to it."""
-    count = f"case when t = '' then 0 else size(split(t, '\\\\s+', {m + 1})) end"
-    d = docs.select("k1", "k2", F.split("text", _CUT).alias("l"))
-    d = d.select("k1", "k2", F.transform("l", lambda p: F.btrim(p, F.lit(_BLANK))).alias("l"))
-    d = d.select("k1", "k2", "l", F.expr(f"transform(l, t -> {count})").alias("w"))
-    run = f"case when w[i] >= {m} then 1 else aggregate({{}}, named_struct('s', 0, 'n', 0), (a, x) -> case when a.s >= {m} then a else named_struct('s', a.s + x, 'n', a.n + 1) end, a -> case when a.s >= {m} then a.n end) end"
-    ahead = run.format(f"slice(w, i + 1, {m + 1})")
-    back = run.format(f"reverse(slice(w, greatest(1, i + 1 - {m}), least(i + 1, {m + 1})))")
-    near = f"exists(slice(w, greatest(1, i + 1 - {m}), {2 * m + 1}), x -> x < {m})"
-    each = f"transform(l, (t, i) -> named_struct('h1', xxhash64(t), 'h2', xxhash64(1, t), 'words', w[i], 'ahead', {ahead}, 'back', {back}, 'near', {near}))"
-    return d.select("k1", "k2", F.posexplode(F.expr(each)).alias("pos", "x")).select("k1", "k2", "pos", "x.*")
-
-
-def repeated_runs(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """(k1, k2, pos, length): runs of lines of at least ``min_words`` words that
-    occur at an earlier place too, whose union is all of these.
-
-    ``docs``: (k1, k2, text), distinct by (k1, k2), in whose order documents
-    follow each other. Level 0 ranks lines by a 128-bit hash; each further
-    level ranks pairs of ranks 2^k lines apart, over the suffixes that still
-    have an equal elsewhere: an interval of the suffix array of common prefix
-    2^k. Two overlapping 2^k-prefixes name a run of any length from 2^k to
-    2^(k+1), and an interval's first place tells later copies from the first.
-    A maximal repeated run of enough words is the union of the shortest
-    such runs in it, those from each of its lines on and those up to each, so
-    only these are looked up and doubling ends at ``min_words`` lines. At one
-    word every line is such a run, so level 0 finds all.
-    """
-    here = F.struct("k1", "k2", "pos")
-    lines = store(_lines(docs, min_words).filter("words > 0").distinct(), "lines")
-    names = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).filter("n > 1")
-    active = store(lines.join(_ranked(names, "h1", "h2"), ["h1", "h2"]).select("k1", "k2", "pos", "rank", "first", "ahead", "back", "near"), "active")
-    found = [active.filter((F.col("ahead") == 1) & (F.col("first") < here)).select("k1", "k2", "pos", F.lit(1).alias("length"))]
-
-    short = active.filter("near")
-    starts = short.filter("ahead > 1").select("k1", "k2", "pos", F.col("ahead").alias("length"))
-    ends = short.filter("back > 1").select("k1", "k2", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("length"))
-    asked = store(starts.unionByName(ends).distinct(), "asked")
-    ranks, k = short.select("k1", "k2", "pos", "rank"), 0
-    while True:
-        step = 1 << k
-        now = asked.filter(F.col("length").between(max(2, step), 2 * step - 1)) if k else asked.limit(0)
-        if k:
-            tail = ranks.select("k1", "k2", F.col("pos").alias("at"), F.col("rank").alias("rank2"))
-            now = now.join(ranks, ["k1", "k2", "pos"]).withColumn("at", F.col("pos") + F.col("length") - step).join(tail, ["k1", "k2", "at"])
-            now = store(now.select("k1", "k2", "pos", "length", "rank", "rank2"), "runs")
-            first = now.groupBy("length", "rank", "rank2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).filter("n > 1")
-            again = now.join(store(first.drop("n"), "firsts"), ["length", "rank", "rank2"]).filter(F.col("first") < here)
-            found.append(again.select("k1", "k2", "pos", "length"))
-        if 2 * step > min_words:
-            break
-        beyond = Window.partitionBy("k1", "k2").orderBy("pos").rangeBetween(step, step)
-        pairs = ranks.withColumn("rank2", F.first("rank").over(beyond)).filter("rank2 is not null")
-        pairs = store(pairs, "pairs")
-        names = _ranked(pairs.groupBy("rank", "rank2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("rank").alias("r1"), F.col("rank2").alias("r2")), "r1", "r2")
-        joined = pairs.join(names.withColumnRenamed("rank", "next"), (F.col("rank") == F.col("r1")) & (F.col("rank2") == F.col("r2")))
-        ranks, k = store(joined.select("k1", "k2", "pos", F.col("next").alias("rank")), "ranked"), k + 1
-        if ranks.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
+def _groups(suffixes: DataFrame, *keys: str) -> DataFrame:
+    """(k1, k2, pos, rank, first) of the suffixes whose ``keys`` another one has too:
+    an interval of the suffix array has one rank, ``first`` is its first place."""
+    names = suffixes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*HERE)).alias("first")).filter("n > 1").drop("n")
+    names = _ranked(names, *keys)
+    out = store(suffixes.join(names, list(keys)).select(*HERE, "rank", "first"), "intervals")
+    discard(names)
+    return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def _intervals(lines: DataFrame) -> list[DataFrame]:
+    """The intervals of common prefixes of 1, 2, 4, ... lines, until no two suffixes
+    share a rank. A suffix that is unique drops out."""
+    found = [_groups(lines, "l1", "l2")]
+    while True:
+        step = 1 << (len(found) - 1)
+        beyond = Window.partitionBy("k1", "k2").orderBy("pos").rangeBetween(step, step)
+        pairs = found[-1].select(*HERE, F.col("rank").alias("rank1"), F.first("rank").over(beyond).alias("rank2"))
+        pairs = store(pairs.filter("rank2 is not null"), "pairs")
+        now = _groups(pairs, "rank1", "rank2")
+        discard(pairs)
+        if now.isEmpty():
+            return found
+        found.append(now)
+
+
+def _longest(found: list[DataFrame]) -> DataFrame:
+    """(k1, k2, pos, length): for each suffix that begins like an earlier one, the
+    longest prefix that occurs earlier.
+
+    The deepest interval whose first place is earlier gives the length up to a
+    factor of 2; then one bit of the length is settled at a time. A prefix of
+    2^k < m < 2^(k+1) lines is named by the ranks of two overlapping prefixes of
+    2^k lines, so each question splits an interval by a second rank; it is put
+    once for all suffixes of the interval that ask for the same m.
+    """
+    members = reduce(DataFrame.unionByName, [f.withColumn("level", F.lit(k)) for k, f in enumerate(found)])
+    later = [f.filter(F.col("first") < F.struct(*HERE)).select(*HERE, F.lit(k).alias("level"), "rank") for k, f in enumerate(found)]
+    deepest = reduce(DataFrame.unionByName, later).groupBy(*HERE).agg(F.max(F.struct("level", "rank")).alias("d"))
+    state = store(deepest.select(*HERE, "d.level", "d.rank", F.expr("shiftleft(1, d.level)").alias("length")), "state")
+    second = members.select("level", "k1", "k2", F.col("pos").alias("at"), F.col("rank").alias("rank2"))
+    for j in range(len(found) - 2, -1, -1):
+        asking = state.filter(F.col("level") > j).withColumn("m", F.col("length") + (1 << j))
+        asked = asking.select("level", "rank", "m").distinct()
+        split = members.filter(F.col("level") > j).join(asked, ["level", "rank"]).withColumn("at", F.expr("pos + m - shiftleft(1, level)"))
+        split = store(split.join(second.filter(F.col("level") > j), ["level", "k1", "k2", "at"]).select("level", "rank", "m", "rank2", *HERE), "split")
+        first = split.groupBy("level", "rank", "m", "rank2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*HERE)).alias("first")).filter("n > 1").drop("n")
+        hit = split.join(first, ["level", "rank", "m", "rank2"]).filter(F.col("first") < F.struct(*HERE)).select(*HERE, "m")
+        grown = asking.join(hit.withColumn("hit", F.lit(1)), [*HERE, "m"], "left").withColumn("length", F.when(F.col("hit").isNotNull(), F.col("m")).otherwise(F.col("length")))
+        grown = store(state.filter(F.col("level") <= j).unionByName(grown.select(*state.columns)), "state")
+        discard(state, split)
+        state = grown
+    return state.select(*HERE, "length")
+
+
+def repeated_runs(lines: DataFrame, min_words: int = 1) -> DataFrame:
+    """(k1, k2, pos, length): the maximal runs of lines, of at least ``min_words``
+    words, that occur at an earlier place too.
+
+    ``lines``: (k1, k2, pos, l1, l2, words), one row per line; documents follow
+    each other by (k1, k2), their lines by pos, without gaps. A run of a place
+    is the longest prefix of its suffix that occurs earlier; it is maximal if
+    the run of the place before it ends before it does. Every run of enough
+    words that occurs earlier lies within one of these.
+    """
+    found = _intervals(lines)
+    runs = _longest(found).withColumn("until", F.col("pos") + F.col("length"))
+    before = F.max("until").over(Window.partitionBy("k1", "k2").orderBy("pos").rangeBetween(-1, -1))
+    runs = store(runs.withColumn("before", before).filter("before is null or before < until").select(*HERE, "length"), "runs")
+    discard(*found)
+    if min_words > 1:  # else every run has enough
+        upto = F.sum("words").over(Window.partitionBy("k1", "k2").orderBy("pos"))
+        sums = lines.select(*HERE, (upto - F.col("words")).alias("since"), upto.alias("until"))
+        ends = sums.select("k1", "k2", (F.col("pos") + 1).alias("end"), "until")
+        sized = runs.join(sums.drop("until"), list(HERE)).withColumn("end", F.col("pos") + F.col("length")).join(ends, ["k1", "k2", "end"])
+        runs = sized.filter(F.col("until") - F.col("since") >= min_words).select(*HERE, "length")
+    return runs
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 10, counts: bool = True) -> DataFrame:
     """``docs`` with the later copies of repeated line runs taken out of ``text``,
-    and the columns n_lines, n_removed.
+    and, with ``counts``, the columns n_lines, n_removed.
 
     Lines are compared without white space at their ends; blank lines go with
     the line before them. A run counts if it has ``min_words`` words or more:
     shorter lines go only as part of one. At 1 word runs of any length count:
-    no later copy of a line stays. The copy in the first document by
-    doc_id (null last), at its first place, stays; every distinct line is kept
-    at least there. A document all of whose lines are later copies keeps an
-    empty text.
+    no later copy of a line stays. The copy in the first document by doc_id
+    (null last), at its first place, stays; every distinct line is kept at
+    least there. A document all of whose lines are later copies keeps an empty
+    text, or the blank lines it starts with.
+
+    Of equal texts the first alone takes part in the suffix array: the others
+    are copies from end to end. Ranks of suffixes, by prefix doubling, and the
+    intervals of their common prefixes then give every maximal repeated run.
 
     Null text: null, 0 lines. Empty text: unchanged. Rows that agree in doc_id
     and text are copies in some order: one is the first. Rows that share only
     the id are documents of their own. All columns of ``docs`` are returned in
-    their order, whatever their names (but n_lines and n_removed, which are
-    replaced); an empty table gives no rows. Each document's lines stay in its
+    their order, whatever their names (but n_lines and n_removed, which the
+    counts replace); an empty table gives no rows. Each document's lines stay in its
     row; a line found everywhere is aggregated before it is joined.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__k1"), F.xxhash64("text").alias("__k2")]
-    d = docs.select(*[F.col(f"`{c}`") for c in names], *key)
-    runs = repeated_runs(d.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text").filter("text is not null"), min_words)
-    gone = runs.select("k1", "k2", F.explode(F.expr("sequence(pos, pos + length - 1)")).alias("pos")).distinct()
-    gone = store(gone.groupBy("k1", "k2").agg(F.collect_list("pos").alias("__gone")), "gone")
-    d = d.join(gone.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
-    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(1)))
-    d = d.withColumn("__nth", nth).withColumn("__l", F.split("text", _CUT))
-    enough = F.size(F.split(F.btrim("text", F.lit(_BLANK)), r"\s+", min_words + 1)) >= min_words
-    whole = (F.col("__nth") > 1) & enough
-    kept = F.expr("transform(array_except(sequence(0, size(__l) - 1), __gone), i -> __l[i])")
-    none = F.array().cast("array<string>")
-    left = F.when(whole, none).when(F.col("__gone").isNotNull(), kept).otherwise(F.col("__l"))
-    d = d.withColumn("__left", F.when(F.col("text").isNotNull(), left))
-    text = F.when(F.size("__left") < F.size("__l"), F.concat_ws("\n", "__left")).otherwise(F.col("text"))
-    lines = F.when(F.btrim("text", F.lit(_BLANK)) == "", 0).otherwise(F.coalesce(F.size("__l"), F.lit(0)))
-    d = d.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines))
-    d = d.withColumn("n_removed", F.when(F.col("text").isNull(), 0).otherwise(F.size("__l") - F.size("__left")))
-    return d.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
+    names, new_names = docs.columns, ("n_lines", "n_removed") if counts else ()
+    text, own = place(docs, "text"), [f"c{i}" for i, n in enumerate(names) if n not in new_names]
+    key = F.coalesce(F.col(place(docs, "doc_id")).cast("long"), F.lit((1 << 63) - 1)).alias("k1")
+    d = numbered(docs).select(*own, key, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    sequences = store(_sequences(d.filter(f"{text} is not null").select("k1", F.col(text).alias("text"))), "sequences")
+    firsts = sequences.groupBy("h1", "h2").agg(F.min("k1").alias("k1"), F.any_value("lines").alias("lines"))
+    lines = store(firsts.select("k1", F.col("h1").alias("k2"), F.explode("lines").alias("x")).select("k1", "k2", "x.*"), "lines")
+    runs = repeated_runs(lines, min_words)
+    gone = runs.select("k1", F.col("k2").alias("h1"), F.explode(F.expr("sequence(pos, pos + length - 1)")).alias("pos"))
+    gone = gone.groupBy("k1", "h1").agg(F.collect_set("pos").alias("gone"))
+    texts = sequences.groupBy("h1", "h2").agg(F.min("k1").alias("first"))
+    info = sequences.select("k1", "h1", "h2").distinct().join(texts, ["h1", "h2"]).join(gone, ["k1", "h1"], "left")
+    info = info.select(F.col("k1").alias("t0"), F.col("h1").alias("t1"), F.col("h2").alias("t2"), (F.col("k1") > F.col("first")).alias("copy"), "gone")
+    info = store(info.filter("copy or gone is not null"), "gone")
+    discard(lines, runs)
+
+    rest = d.filter(f"{text} is null").select(*own, F.lit(0).alias("n_lines"), F.lit(0).alias("n_removed"))
+    d = d.filter(f"{text} is not null").join(info, F.expr("k1 = t0 and h1 = t1 and h2 = t2"), "left")
+    nth = F.row_number().over(Window.partitionBy("k1", "h1", "h2").orderBy(F.lit(1)))
+    d = d.withColumn("nth", nth).withColumn("l", F.split(text, _CUT))
+    enough = F.size(F.split(F.btrim(text, F.lit(_BLANK)), r"\s+", min_words + 1)) >= min_words
+    blank = F.filter("l", lambda p: F.btrim(p, F.lit(_BLANK)) == "")
+    kept = F.expr("transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i])")
+    left = F.when(((F.col("nth") > 1) | F.col("copy")) & enough, blank).when(F.col("gone").isNotNull(), kept).otherwise(F.col("l"))
+    d = d.withColumn("left", left)
+    new = F.when(F.size("left") < F.size("l"), F.concat_ws("\n", "left")).otherwise(F.col(text))
+    n = F.when(F.btrim(text, F.lit(_BLANK)) == "", 0).otherwise(F.size("l"))
+    out = d.select(*[new.alias(c) if c == text else F.col(c) for c in own], n.alias("n_lines"), (F.size("l") - F.size("left")).alias("n_removed")).unionByName(rest)
+    return out.select(*own, *new_names).toDF(*[names[int(c[1:])] for c in own], *new_names)
