@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, store
+from tidelog.llm.common import columns, components, discard, numbered, place, store
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands of registers; a pair of probability Jaccard 0.8 shares no band with
 #: probability (1 - 0.8^6)^40 = 5e-6.
 BANDS, ROWS = 40, 6
-#: Nodes up to which a bucket's classes are compared as pairs; larger buckets are
-#: cut into blocks of about ``BLOCK`` nodes, and each two blocks compared at once.
-PAIRWISE, BLOCK = 24, 256
+#: Nodes up to which a bucket's classes are compared as pairs; the nodes of larger
+#: buckets make blocks of about ``BLOCK`` nodes and ``CHARACTERS`` of text, and
+#: each two blocks that meet in a bucket are compared at once.
+PAIRWISE, BLOCK, CHARACTERS = 24, 256, 8 << 20
+#: Hashes of texts that a task remembers to have signed; beyond it it starts anew.
+SEEN = 1 << 18
 #: Bytes of text worked on at a time.
 BATCH = 1 << 20
 
@@ -156,7 +162,19 @@ def _slices(texts: list[str]):
 
 
 def _sign(batches):
+    """Adds the band keys of each text, once per task for equal texts."""
+    seen: set[tuple[int, int]] = set()
     for b in batches:
+        h1, h2, fresh = b.column(1).to_pylist(), b.column(2).to_pylist(), []
+        for k in zip(h1, h2):
+            fresh.append(k not in seen)
+            seen.add(k)
+        if len(seen) > SEEN:
+            seen.clear()
+        new = pa.array(fresh)
+        old = b.filter(pc.invert(new))
+        yield pa.RecordBatch.from_arrays([*old.columns[:3], pa.nulls(old.num_rows, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "keys"])
+        b = b.filter(new)
         for start, stop in _slices(texts := b.column(3).to_pylist()):
             part = texts[start:stop]
             doc, h, w = shingles(part)
@@ -209,23 +227,47 @@ def _overlaps(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int) ->
     return out
 
 
-def _compare(block: np.ndarray, node: np.ndarray, group: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
-    """Similar nodes of different classes (``group``) in one or between two blocks:
-    as many pairs as join all classes that any similar pair joins."""
-    doc, h, w = shingles(texts)
-    n = np.bincount(doc, w, len(texts))
-    shared = _overlaps(doc, h, w, len(texts))
-    sets = np.bincount(doc, w > 1, len(texts)) == 0
-    ask = (group[:, None] != group[None, :]) & (block[:, None] <= block[None, :])
-    if block.min() == block.max():
-        ask &= np.triu(np.ones_like(ask), 1)
-    else:
-        ask &= block[:, None] < block[None, :]
+class Block:
+    """Nodes with their classes and weighted shingles, as one row to send."""
+
+    def __init__(self, node: np.ndarray, group: np.ndarray, texts: list[str]):
+        self.node, self.group = node, group
+        self.doc, self.h, self.w = (np.concatenate(c) for c in zip(*self._shingled(texts)))
+        self.w = self.w.astype(np.int32)
+        self.doc = self.doc.astype(np.int32)
+
+    @staticmethod
+    def _shingled(texts: list[str]):
+        yield np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for start, stop in _slices(texts):
+            doc, h, w = shingles(texts[start:stop])
+            yield doc + start, h, w
+
+    @staticmethod
+    def both(a: Block, b: Block | None) -> tuple[np.ndarray, ...]:
+        """side, node, group, doc, h, w of one block or of two."""
+        if b is None:
+            return np.zeros(len(a.node), np.int64), a.node, a.group, a.doc.astype(np.int64), a.h, a.w.astype(np.int64)
+        join = lambda x, y: np.concatenate([x, y])
+        doc = join(a.doc.astype(np.int64), b.doc.astype(np.int64) + len(a.node))
+        return join(np.zeros(len(a.node), np.int64), np.ones(len(b.node), np.int64)), join(a.node, b.node), join(a.group, b.group), doc, join(a.h, b.h), join(a.w, b.w).astype(np.int64)
+
+
+def _compare(a: Block, b: Block | None) -> list[tuple[int, int]]:
+    """Similar nodes of different classes within one block or between two: as many
+    pairs as join all classes that any similar pair joins."""
+    side, node, group, doc, h, w = Block.both(a, b)
+    docs = len(node)
+    n = np.bincount(doc, w, docs)
+    shared = _overlaps(doc, h, w, docs)
+    sets = np.bincount(doc, w > 1, docs) == 0
+    ask = group[:, None] != group[None, :]
+    ask &= np.triu(np.ones_like(ask), 1) if b is None else side[:, None] < side[None, :]
     least = THRESHOLD - 1e-5
     ask &= (shared >= least * n[:, None]) & (shared.T >= least * n[None, :])  # what any such similarity needs
     plain = sets[:, None] & sets[None, :]
     ask &= ~plain | (shared >= THRESHOLD * (n[:, None] + n[None, :] - shared) - 1e-6)
-    start = np.searchsorted(doc, np.arange(len(texts) + 1))
+    start = np.searchsorted(doc, np.arange(docs + 1))
     up: dict[int, int] = {}
 
     def root(c):
@@ -235,18 +277,24 @@ def _compare(block: np.ndarray, node: np.ndarray, group: np.ndarray, texts: list
 
     out = []
     for i, j in zip(*np.nonzero(ask)):
-        a, b = root(int(group[i])), root(int(group[j]))
-        if a != b:
+        p, q = root(int(group[i])), root(int(group[j]))
+        if p != q:
             x, y = slice(start[i], start[i + 1]), slice(start[j], start[j + 1])
             if similarity(h[x], w[x], h[y], w[y]) >= THRESHOLD:
-                up[max(a, b)] = min(a, b)
+                up[max(p, q)] = min(p, q)
                 out.append((int(node[i]), int(node[j])))
     return out
 
 
+def _pack(group: pa.Table) -> pa.Table:
+    node, classes_ = group.column("node").to_numpy(), group.column("class").to_numpy()
+    body = pickle.dumps(Block(node, classes_, group.column("text").to_pylist()))
+    return pa.table({"block": group.column("block").slice(0, 1), "body": pa.array([body], pa.binary())})
+
+
 def _block_pair(group: pa.Table) -> pa.Table:
-    block, node, classes_ = (group.column(k).to_numpy() for k in ("block", "node", "class"))
-    found = _compare(block, node, classes_, group.column("text").to_pylist())
+    bodies = [pickle.loads(b.as_py()) for b in group.column("body")]
+    found = _compare(bodies[0], bodies[1] if len(bodies) > 1 else None)
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
@@ -262,33 +310,35 @@ def classes(docs: DataFrame) -> DataFrame:
     (doc_id, text): see ``near_duplicates``."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     signed = store(d.filter("text is not null").mapInArrow(_sign, "doc_id long, h1 long, h2 long, keys array<long>"), "signed")
-    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
+    nodes = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("keys", True).alias("keys"))
     nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    member = nodes.select(F.explode("keys").alias("key"), "node")
-    buckets = store(member.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    member = store(member.join(buckets, "key").select("key", "node", "lead", "n"), "members")
-    star = store(member.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    near = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "rep", "h1", "h2")
+    every = nodes.select(F.explode("keys").alias("key"), "node")
+    buckets = store(every.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    bucketed = store(every.join(buckets, "key").select("key", "node", "lead", "n"), "members")
+    star = store(bucketed.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    near = nodes.join(bucketed.select("node").distinct(), "node", "left_semi").select("node", "rep", "h1", "h2")
     near = near.withColumnsRenamed({"h1": "n1", "h2": "n2"})
     texts = d.join(near, F.expr("h1 = n1 and h2 = n2 and doc_id <=> rep"))
     texts = store(texts.select("node", "text"), "texts")
     first = store(_links(star, texts), "links")
 
     joined = store(components(first), "classes")
-    member = member.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("class"))
-    member = store(member, "members")
-    mixed = store(member.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"), "mixed")
-    member = store(member.join(mixed, "key", "left_semi"), "mixed-members")
+    member = bucketed.join(joined, "node", "left").select("key", "node", "lead", "n", F.coalesce("component", "node").alias("class"))
+    classed = store(member, "members")
+    mixed = store(classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key"), "mixed")
+    member = store(classed.join(mixed, "key", "left_semi"), "mixed-members")
+    discard(buckets, bucketed, joined, classed)
     few = member.filter(F.col("n") <= PAIRWISE).select("key", "node", "class")
     other = few.select("key", F.col("node").alias("b"), F.col("class").alias("class_b"))
     pairs = few.withColumnRenamed("node", "a").join(other, "key").filter("class < class_b").select("a", "b")
     done = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-    second = _links(store(pairs, "pairs"), texts).unionByName(_in_blocks(member.filter(F.col("n") > PAIRWISE), texts))
-    second = store(second, "links")
+    second = store(_links(store(pairs, "pairs"), texts), "links")
+    third = _in_blocks(member.filter(F.col("n") > PAIRWISE), texts)
+    discard(texts, member, star)
 
-    joined = components(first.unionByName(second))
+    joined = components(first.unionByName(second).unionByName(third))
     known = nodes.select("node", "h1", "h2", "rep").join(joined, "node", "left")
     known = store(known.withColumn("component", F.coalesce("component", "node")), "known")
     best = store(known.groupBy("component").agg(F.min("rep").alias("class_id"), F.min_by("node", "rep").alias("best"), F.min("node").alias("any")), "best")
@@ -301,13 +351,31 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _in_blocks(member: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between classes within large buckets. A bucket of n nodes is cut
-    into about n / ``BLOCK`` blocks by hash; each two blocks are one group of
-    bounded size, which sends back at most one link per class it holds."""
-    m = member.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class", "text")
-    return m.groupBy("key", "i", "j").applyInArrow(_block_pair, "u long, v long")
+    """Links (u, v) between classes within large buckets.
+
+    Nodes that large buckets hold together, directly or by others, are a family,
+    which is cut by hash into blocks of bounded size. A block is made once, for
+    all bands, with the shingles of its texts, and sent as one row to each pair
+    of blocks that meet in a bucket; a pair sends back at most one link per
+    class it holds. So a family of n nodes whose members mostly aren't similar
+    enough takes (n / ``BLOCK``)^2 / 2 pairs of blocks.
+    """
+    family = components(member.select(F.col("lead").alias("u"), F.col("node").alias("v")))
+    node = member.select("node", "class").distinct().join(family, "node").join(texts, "node")
+    sizes = node.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / CHARACTERS))
+    sizes = store(sizes.select(F.col("component").alias("f"), blocks.cast("int").alias("blocks")), "families")
+    placed = member.select("node").distinct().join(family, "node").join(sizes, F.col("component") == F.col("f"))
+    placed = store(placed.select("node", F.xxhash64("component", F.pmod(F.xxhash64("node"), "blocks")).alias("block")), "placed")
+    packed = member.select("node", "class").distinct().join(placed, "node").join(texts, "node")
+    packed = store(packed.select("block", "node", "class", "text").groupBy("block").applyInArrow(_pack, "block long, body binary"), "blocks")
+    at = store(member.select("key", "node").join(placed, "node").select("key", "block").distinct(), "places")
+    pairs = at.withColumnRenamed("block", "i").join(at.withColumnRenamed("block", "j"), "key").filter("i <= j").select("i", "j").distinct()
+    pairs = store(pairs, "block-pairs")
+    sent = pairs.select(F.col("i").alias("block"), "i", "j").unionByName(pairs.filter("i < j").select(F.col("j").alias("block"), "i", "j"))
+    out = store(packed.join(sent, "block").select("i", "j", "body").groupBy("i", "j").applyInArrow(_block_pair, "u long, v long"), "links")
+    discard(sizes, placed, packed, at, pairs)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -328,19 +396,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null text: its own id, kept. Texts without words are equal only to the same
     text. Texts of fewer than five words have one shingle. Rows that agree in
     id and text get equal rows; a null id takes part, and is kept only in a
-    class without other ids. Other columns are ignored; an empty table gives
-    no rows.
+    class without other ids. Other columns are ignored, whatever their names;
+    an empty table gives no rows.
     """
-    return classes(docs).select("doc_id", "class_id", "kept")
+    return classes(columns(docs, "doc_id", "text")).select("doc_id", "class_id", "kept")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each class, columns as given; rows with null text stay."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = classes(docs.select("doc_id", "text").filter("text is not null")).filter("kept")
-    kept = store(kept.select(F.col("doc_id").alias("__d"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct(), "kept")
-    d = docs.filter("text is not null").withColumns({"__x1": F.xxhash64("text"), "__x2": F.xxhash64(F.lit(1), "text")})
-    d = d.join(kept, F.expr("__x1 = __h1 and __x2 = __h2 and cast(doc_id as bigint) <=> __d"))
-    nth = F.row_number().over(Window.partitionBy("__x1", "__x2").orderBy("doc_id"))
-    d = d.withColumn("__nth", nth).filter("__nth = 1").select(*names)
-    return d.unionByName(docs.filter("text is null"))
+    """One row of ``docs`` for each class, all columns as given, whatever their
+    names; rows with null text stay."""
+    d, own, text, key = numbered(docs), [f"c{i}" for i in range(len(docs.columns))], place(docs, "text"), place(docs, "doc_id")
+    kept = classes(columns(docs, "doc_id", "text").filter("text is not null")).filter("kept")
+    kept = store(kept.select("doc_id", "h1", "h2").distinct(), "kept")
+    some = d.filter(f"{text} is not null").withColumns({"x1": F.xxhash64(text), "x2": F.xxhash64(F.lit(1), text)})
+    some = some.join(kept, F.expr(f"x1 = h1 and x2 = h2 and cast({key} as bigint) <=> doc_id"))
+    nth = F.row_number().over(Window.partitionBy("x1", "x2").orderBy(key))
+    some = some.withColumn("nth", nth).filter("nth = 1").select(*own)
+    return some.unionByName(d.filter(f"{text} is null")).toDF(*docs.columns)
