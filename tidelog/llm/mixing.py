@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import store
+from tidelog.llm.common import columns, numbered, place, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many sources the block table is broadcast; else it is joined by source.
@@ -85,10 +85,15 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
     Returns doc_id, source, size, source_size, target, taken, one row per row.
     Null or empty text: size 0, taken 0. Null source: a source of its own, last
     in order. Null or repeated ids and repeated rows: each row is laid out and
-    taken for itself. Empty table: no rows. Reruns give the same rows.
+    taken for itself. Empty table: no rows. Other columns are ignored, whatever
+    their names. Reruns give the same rows.
     """
-    size = words(F.col("text"))
-    d = docs.select("doc_id", "source", size.alias("size"))
+    d = columns(docs, "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    return _mixed(d, weights, share, cap, blocks, shards, buckets, seed).drop("hash")
+
+
+def _mixed(d: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, blocks: int = 16384, shards: int = 16, buckets: int = 1024, seed: int = 17) -> DataFrame:
+    """``mix`` for rows of (doc_id, source, size, hash of the text)."""
     d = store(d.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets))), "sized")
     parts = d.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = store(source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, float(cap)), "targets")
@@ -117,7 +122,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
 
     first = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = store(parts.withColumn("offset", F.coalesce(F.sum("words").over(first), F.lit(0))).select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset"), "offsets")
-    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size", "hash").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("run", F.sum("size").over(inside))
     d = d.join(parts, F.expr("source <=> o_source and bucket = o_bucket"))
     few = totals["sources"] <= SOURCES
@@ -126,21 +131,27 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, bl
     at = f"plan[cast(least({{0}} div {b}, size(plan) - 1) as int)]"
     upto = f"({at}.before + least({at}.extra, {{0}} - {at}.block * {b}))"
     extra = F.expr(f"case when plan is null then 0 else {upto.format('until')} - {upto.format('since')} end")
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("base") * F.col("size") + extra).cast("long").alias("taken"))
+    return d.select("doc_id", "source", "size", "hash", "source_size", "target", (F.col("base") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row of ``docs`` as often as its words are taken.
+
     A part of a copy becomes a whole one with that part as its probability, by
-    seeded hash, so sources keep their shares; rows of which none are taken go.
-    Columns as given."""
-    names = docs.columns
-    key = [F.coalesce("doc_id", F.lit(-(1 << 62))).alias("__d"), F.coalesce("source", F.lit("\x00")).alias("__s")]
+    seeded hash, so sources keep their shares; rows of which none are taken go,
+    so null and empty texts do. Rows that agree in id, source and text share
+    out what is taken of them, row by row with the same probability. Null ids
+    and null sources are joined as such. All columns come back as given,
+    whatever their names; an empty table gives no rows.
+    """
+    d, own = numbered(docs), [f"c{i}" for i in range(len(docs.columns))]
+    text = F.col(place(docs, "text"))
+    d = d.withColumns({"d_id": F.col(place(docs, "doc_id")), "d_source": F.col(place(docs, "source")), "d_size": words(text), "d_hash": F.xxhash64(text)})
+    keys = d.select(F.col("d_id").alias("doc_id"), F.col("d_source").alias("source"), F.col("d_size").alias("size"), F.col("d_hash").alias("hash"))
     dither = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "size"), F.lit(1 << 20)) / (1 << 20)
-    taken = mix(docs, **options).withColumn("copies", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + dither).cast("int"))
-    taken = taken.groupBy(*key, F.col("size").alias("__z")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    d = docs.select("*", *key, words(F.col("text")).alias("__z"))
-    nth = Window.partitionBy("__d", "__s", "__z").orderBy(F.xxhash64("text"))
-    d = d.withColumn("__nth", F.row_number().over(nth)).join(taken.filter("__copies[0] > 0"), ["__d", "__s", "__z"])
-    d = d.withColumn("__copies", F.get("__copies", F.col("__nth") - 1)).filter("__copies > 0")
-    return d.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{n}`") for n in names])
+    taken = _mixed(keys, **options).withColumn("copies", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + dither).cast("long"))
+    taken = taken.groupBy("doc_id", "source", "size", "hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    d = d.withColumn("row", F.monotonically_increasing_id()).join(taken, F.expr("d_id <=> doc_id and d_source <=> source and d_size = size and d_hash = hash"))
+    more = F.when(F.pmod(F.xxhash64(F.lit("more"), "row"), F.col("rows")) < F.col("copies") % F.col("rows"), 1).otherwise(0)
+    d = d.withColumn("times", (F.expr("copies div rows") + more).cast("int")).filter("times > 0")
+    return d.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*own).toDF(*docs.columns)
