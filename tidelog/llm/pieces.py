@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import numbered, place
+
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model file
 UNIGRAM, BPE = 1, 2
@@ -221,12 +223,16 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), batc
     three null. Empty text: no ids, true. A text that holds the marker U+2581
     decodes with a space in its place: false. Very long texts are encoded in
     one piece; ``batch`` bounds how many characters wait at a time, save one
-    text. Null or repeated ids, repeated rows and an empty table need no care;
-    other columns are dropped.
+    text. Null or repeated ids and repeated rows are encoded each for itself; an
+    empty table gives no rows. Other columns are dropped, whatever their names;
+    kept columns named like one of the three new ones give way to it.
     """
     with open(path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    frame = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias("__text"))
+    keep = tuple(k for k in keep if k not in ("ids", "n_tokens", "round_trip"))
+    kinds = dict(docs.dtypes)
+    frame = numbered(docs).select(*[F.col(place(docs, k)) for k in keep], F.col(place(docs, "text")))
+    frame = frame.toDF(*[f"k{i}" for i in range(len(keep))], "text")
     fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_tokens", pa.int32()), pa.field("round_trip", pa.bool_())]
     n = len(keep)
 
@@ -249,8 +255,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), batc
                 yield pa.RecordBatch.from_arrays([b.column(k).slice(start, stop - start) for k in range(n)] + columns, schema=pa.schema([b.schema.field(k) for k in range(n)] + fields))
                 start = stop
 
-    kinds = dict(docs.dtypes)
-    return frame.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", ids array<int>, n_tokens int, round_trip boolean")
+    shape = [f"k{i} {kinds[k]}" for i, k in enumerate(keep)] + ["ids array<int>", "n_tokens int", "round_trip boolean"]
+    return frame.mapInArrow(run, ", ".join(shape)).toDF(*keep, "ids", "n_tokens", "round_trip")
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

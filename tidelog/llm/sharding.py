@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import store
+from tidelog.llm.common import columns, store
 
 STEP = 12  # directory bits opened at a time: at most 4096 cells per open bucket
 ROUNDS = 5  # 60 of the 64 hash bits
@@ -20,17 +20,18 @@ def shard(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
     ``STEP`` further bits, only below buckets that are still too large, so the
     directory work follows the number of shards, not of documents. Rows whose
     hash agrees in all bits used (identical rows) can't be split by hash: they
-    overflow into numbered pages of the same bucket, dealt by a salt.
+    overflow into numbered pages of the same bucket, dealt by a salt, the number
+    of the task that reads them.
 
     Returns doc_id, bytes, shard (the prefix as bits, with ``+page`` for
     overflow pages), depth, one row per row. Null or empty text has 0 bytes.
     A single document over the limit is a shard of its own. Null and repeated
     ids are ordinary keys; an empty table gives no rows; extra columns are
-    ignored.
+    ignored, whatever their names.
     """
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     h = F.conv(F.substring(F.md5(key), 1, 16), 16, -10).cast("long")
-    d = store(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), h.alias("h")), "hashed")
+    d = store(columns(docs, "doc_id", "text").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), h.alias("h"), F.shiftright(F.monotonically_increasing_id(), 33).alias("salt")), "hashed")
     out = d.withColumn("depth", F.lit(None).cast("int"))
     everything = d.agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
     if (everything["b"] or 0) <= limit or everything["n"] <= 1:
@@ -55,8 +56,7 @@ def shard(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
         if opened.isEmpty():
             break
     else:
-        salt = F.when(F.col("depth").isNull(), F.monotonically_increasing_id() % 64)
-        out = store(out.withColumn("salt", salt), "overflow")
+        out = store(out, "overflow")
         page = Window.partitionBy("h", "salt").orderBy("bytes")
         each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))))
         over = out.filter("depth is null").withColumn("page", F.concat_ws(".", "salt", F.floor((F.row_number().over(page) - 1) / each)))
