@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelog.llm import catalogue, covertree, lines, minhash, topk
@@ -42,7 +43,7 @@ def brute_lines(texts, m):
     return ["\n".join(x for p, x in enumerate(CUT.split(t)) if p not in g) for t, g in zip(texts, gone)]
 
 
-@pytest.mark.parametrize("m, seed", [(4, 1), (10, 2), (3, 3)])
+@pytest.mark.parametrize("m, seed", [(4, 1), (10, 2), (1, 3)])
 def test_lines_match_brute_force(spark, m, seed):
     rng = random.Random(seed)
     pool = ["a", "b b", "c c c", "d d d d", "e e e e e", "one two three four five six seven eight nine ten eleven"]
@@ -66,6 +67,47 @@ def test_lines_edges(spark):
     assert lines.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_maximal_runs_far_longer_than_the_floor(spark):
+    rng = random.Random(6)
+    base = [f"line {i} of many" for i in range(40)]
+    seqs = [base, base[3:30], [f"own {i}" for i in range(5)] + base[10:37], base[:9] + ["between"] + base[9:25], ["a"] * 21, ["b", *["a"] * 9]]
+    seqs += [[rng.choice("pqr") for _ in range(12)] for _ in range(8)]
+    rows = [(d, 0, i, hash(x) % 2**60, len(x), len(x.split())) for d, s in enumerate(seqs) for i, x in enumerate(s)]
+    lines_ = spark.createDataFrame(rows, "k1 long, k2 long, pos int, l1 long, l2 long, words int")
+
+    def earlier(d, a, n):
+        run = seqs[d][a : a + n]
+        return any(seqs[e][b : b + n] == run for e in range(d + 1) for b in range(len(seqs[e]) - n + 1) if (e, b) < (d, a))
+
+    for m in (1, 9):
+        want = []
+        for d, s in enumerate(seqs):
+            last = 0
+            for a in range(len(s)):
+                n = max((n for n in range(1, len(s) - a + 1) if earlier(d, a, n)), default=0)
+                if a + n > last and n and sum(len(x.split()) for x in s[a : a + n]) >= m:
+                    want.append((d, a, n))
+                last = max(last, a + n)
+        assert sorted((r["k1"], r["pos"], r["length"]) for r in lines.repeated_runs(lines_, m).collect()) == want
+        assert m > 1 or (4, 1, 20) in want and (1, 0, 27) in want
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    texts = ["a a\nb b", "b b\nc", "b b\nc", None, "x " * 40_000 + "\nb b"]
+    d = docs_of(spark, texts)
+    clash = ["k1", "h1", "l", "gone", "copy", "nth", "left", "__nth", "__gone", "t0", "pos", "c0", "Text", "DOC_ID", "a`b"]
+    for n, c in enumerate(clash):
+        d = d.toDF(*[f"own{i}" for i in range(len(d.columns))]).withColumn("new", F.lit(n)).toDF(*d.columns, c)
+    got = lines.dedup_lines(d, 1)
+    assert got.columns == [*d.columns, "n_lines", "n_removed"]
+    want = ["a a\nb b", "c", "", None, "x " * 40_000]
+    rows = {r[0]: r for r in got.collect()}
+    for i, t in enumerate(want):
+        assert rows[i][1] == t and rows[i][2:5] == ("en", f"s{i % 3}", None if texts[i] is None else len(texts[i]))
+        assert list(rows[i][5:-2]) == list(range(len(clash)))
+    assert [rows[i][-1] for i in range(5)] == [0, 1, 2, 0, 1]
+
+
 def without_later_copies(texts):
     """Every line at its first place only."""
     seen, out = set(), []
@@ -174,30 +216,52 @@ def test_minhash_in_the_pipeline_keeps_one_of_each(spark):
 
 
 @pytest.mark.parametrize("repeat", [False, True])
-def test_block_comparison_joins_what_pairs_join(repeat):
+@pytest.mark.parametrize("two", [False, True])
+def test_block_comparison_joins_what_pairs_join(repeat, two):
     texts = [t * 2 if repeat else t for t in near_copies(9) if t]
-    n = len(texts)
-    block = np.array([i % 2 for i in range(n)])
+    texts = texts[::2] + texts[1::2]
+    n, half = len(texts), (len(texts) + 1) // 2
     w = [weighted(t) for t in texts]
-    for blocks in (np.zeros(n, int), block):
-        found = minhash._compare(blocks, np.arange(n) + 100, np.arange(n), texts)
-        want = {(i, j) for j in range(n) for i in range(n) if i != j and (blocks[i] < blocks[j] or not blocks.any() and i < j) and probability_jaccard(w[i], w[j]) >= 0.8}
-        assert want and {(u - 100, v - 100) for u, v in found} <= want
-        for edges in (want, found):
-            up = list(range(n))
-
-            def root(i):
-                while up[i] != i:
-                    i = up[i]
-                return i
-
-            for u, v in edges:
-                u, v = root(u % 100 if edges is found else u), root(v % 100 if edges is found else v)
-                up[max(u, v)] = min(u, v)
-            roots = [root(i) for i in range(n)]
-            if edges is want:
-                expected = roots
-        assert roots == expected
+    block = lambda a, b: minhash.Block(np.arange(a, b), np.arange(a, b), texts[a:b])
+    found = minhash._compare(block(0, half), block(half, n)) if two else minhash._compare(block(0, n), None)
+    want = {(i, j) for j in range(n) for i in range(j) if (not two or i < half <= j) and probability_jaccard(w[i], w[j]) >= 0.8}
+    assert want and set(found) <= want
+    roots = []
+    for edges in (want, found):
+        up = list(range(n))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for u, v in edges:
+            u, v = root(u), root(v)
+            up[max(u, v)] = min(u, v)
+        roots.append([root(i) for i in range(n)])
+    assert roots[0] == roots[1]
+
+
+def test_minhash_edges(spark):
+    long = " ".join(f"word{i % 9973}" for i in range(60_000))
+    texts = [long, long + " more", long, "a b c d e f", "a b c d e f", None, "", ""]
+    d = docs_of(spark, texts, [3, 2, 9, 5, 5, 6, 7, None]).withColumnsRenamed({"lang": "TEXT", "source": "x1"}).withColumn("h1", F.lit(1)).withColumn("__nth", F.lit(2)).withColumn("nth", F.lit(3))
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["kept"]) for r in minhash.near_duplicates(d).collect())
+    assert got == [("2", "2", True), ("3", "2", False), ("5", "5", True), ("5", "5", True), ("6", "6", True), ("7", "7", True), ("9", "2", False), ("None", "7", False)]
+    one = minhash.one_of_each(d)
+    assert one.columns == d.columns
+    assert sorted((r[0], r[2], *r[5:]) for r in one.collect()) == [(i, "en", 1, 2, 3) for i in (2, 5, 6, 7)]
+
+
+def test_minhash_recall_against_all_pairs(spark):
+    """Every link of similarity 0.8 or more between documents of the tables is found."""
+    from itertools import combinations
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    w = {i: weighted(t or "") for i, t in rows}
+    links = [(i, j) for i, j in combinations(w, 2) if len(w[i].keys() & w[j].keys()) * 5 >= 3 * min(len(w[i]), len(w[j])) and probability_jaccard(w[i], w[j]) >= 0.8]
+    assert links and all(got[i] == got[j] for i, j in links)
 
 
 def test_components(spark):
@@ -231,14 +295,10 @@ def vectors(seed=1):
     return out + [(900, None, 0, 1), (901, [], 0, 1), (902, [1.0, None], 0, 1), (903, [float("nan")] * 16, 0, 1), (904, [float("inf")] * 16, 0, 1), (905, [3.0, 4.0], 0, 1), (906, [6.0, 8.0], 0, 1), (None, [3.0, 4.0], 0, 1)]
 
 
-@pytest.mark.parametrize("per_tree, block", [(2048, 32 << 20), (40, 32 << 20), (40, 30_000)])
-def test_cover_tree_matches_brute_force(spark, per_tree, block, monkeypatch):
-    monkeypatch.setattr(covertree, "LEAF", 4)
-    monkeypatch.setattr(covertree, "BLOCK", block)
-    rows = vectors()
-    got = {r["vec_id"]: r for r in covertree.near_duplicates(spark.createDataFrame(rows, VEC), per_tree=per_tree).collect()}
-    good = {i: np.array(v) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
-    up, n = {i: i for i, *_ in rows if i is not None}, collections.Counter()
+def brute_links(rows):
+    """(n_links, component_id) of each row, every row a vector of its own."""
+    good = {n: np.array(v, float) for n, (i, v, *_) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
+    up, links = list(range(len(rows))), collections.Counter()
 
     def root(i):
         while up[i] != i:
@@ -248,17 +308,51 @@ def test_cover_tree_matches_brute_force(spark, per_tree, block, monkeypatch):
     for i, x in good.items():
         for j, y in good.items():
             if i < j and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9:
-                n[i] += 1
-                n[j] += 1
+                links[i] += 1
+                links[j] += 1
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
-    assert len(got) == len(rows) and sum(n.values())
-    for i in up:
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], root(i), root(i) == i)
-    assert got[None]["component_id"] is None
+    least = {}
+    for n, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(n)] = min(r[0], least.get(root(n), r[0]))
+    return [(links[n], least.get(root(n))) for n in range(len(rows))]
+
+
+@pytest.mark.parametrize("per_tree, groups", [(2048, 8), (40, 8), (12, 2)])
+def test_cover_tree_matches_brute_force(spark, per_tree, groups, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 4)
+    monkeypatch.setattr(covertree, "GROUPS", groups)
+    rows = vectors()
+    near = [c + 0.01 for c in rows[3][1]]
+    rows += [(3, rows[3][1], 0, 1), (3, rows[9][1], 0, 1), (None, near, 0, 1), (9, near, 0, 1)]  # ids that repeat, and none
+    d = spark.createDataFrame(rows, VEC).withColumnRenamed("label", "VEC_ID").withColumnRenamed("rank", "x")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), str(r["kept"])) for r in covertree.near_duplicates(d, per_tree=per_tree).collect())
+    want = [(str(i), n, str(c), str(None if i is None or c is None else i == c)) for (i, *_), (n, c) in zip(rows, brute_links(rows))]
+    assert got == sorted(want) and sum(w[1] for w in want)
     assert covertree.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_repeated_ids_have_their_own_links(spark):
+    x, y = [1.0, 0, 0, 0], [0.0, 1, 0, 0]
+    rows = [(5, x, 0, 1), (5, y, 0, 1), (6, [1, 0.01, 0, 0], 0, 1), (7, [1, 0, 0.01, 0], 0, 1), (8, [0, 1, 0.01, 0], 0, 1)]
+    got = covertree.near_duplicates(spark.createDataFrame([(i, [float(c) for c in v], a, b) for i, v, a, b in rows], VEC)).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == [(5, 1), (5, 2), (6, 2), (7, 2), (8, 1)]
+
+
+def test_upper_levels_prune_cells_without_loss():
+    rng = np.random.RandomState(2)
+    base = rng.randn(6, 8)
+    x = np.concatenate([b + 0.05 * rng.randn(30, 8) for b in base])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = covertree.CoverTree(np.arange(len(x)), np.ones(len(x), int), x)
+    reach = rng.rand(len(x)) * 0.1
+    got = {(i, j) for i, j, _ in covertree.near_cells(t, reach, 0.3)}
+    d = covertree._distance(t.x, t.x)
+    want = {(int(t.ids[i]), int(t.ids[j])) for i, j in zip(*np.nonzero(d <= reach[:, None] + reach[None, :] + 0.3))}
+    assert want <= got and len(got) < len(x) ** 2 / 3
+
+
 def test_cover_tree_counts_whole_nodes():
     rng = np.random.RandomState(0)
     x = np.concatenate([np.eye(8)[:1] + 0.01 * rng.randn(300, 8), rng.randn(300, 8)])
@@ -274,32 +368,46 @@ def test_cover_tree_counts_whole_nodes():
     assert dict(zip(ids.tolist(), n.tolist())) == {i: int(c) for i, c in enumerate(want) if c}
 
 
-def test_topk_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 3)
+@pytest.mark.parametrize("block", [32 << 20, 1600])
+def test_topk_matches_brute_force(spark, block):
     rng = np.random.RandomState(5)
     rows = [(i, [float(v) for v in np.float32(rng.randn(20))], 0, 1) for i in range(300)]
-    rows += [(i, rows[7][1], 0, 1) for i in range(300, 303)] + [(50 * 9, None, 0, 1), (50 * 10, [1.0, None], 0, 1), (50 * 11, [1.0, 2.0], 0, 1), (None, rows[0][1], 0, 1)]
-    got = sorted(tuple(r) for r in topk.topk(spark.createDataFrame(rows, VEC), every=50).collect())
-    q = {i: np.floor(256 * np.array(v, float)) for i, v, *_ in rows if i is not None and v and None not in v}
+    rows += [(i, rows[7][1], 0, 1) for i in range(300, 303)] + [(50 * 9, None, 0, 1), (50 * 10, [1.0, None], 0, 1), (50 * 11, [1.0, 2.0], 0, 1), (50 * 12, [], 0, 1)]
+    rows += [(None, rows[0][1], 0, 1), (100, rows[8][1], 0, 1), (150, rows[150][1], 0, 1), (None, [1.0, 1.0], 0, 1)]  # ids that repeat, and none
+    d = spark.createDataFrame(rows, VEC).withColumnRenamed("label", "VEC_ID").withColumnRenamed("rank", "at")
+    x = topk.quantised(d)
+    got = sorted(tuple(map(str, r)) for r in topk.search(x, x.filter("vec_id % 50 = 0"), block=block).collect())
+    q = [(i, np.floor(256 * np.array(v, float))) for i, v, *_ in rows if v and None not in v]
     want = []
-    for i, x in q.items():
-        if i % 50 == 0:
-            scores = sorted((-int(x @ y), j) for j, y in q.items() if j != i and len(y) == len(x))[:5]
-            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    for n, (i, x) in enumerate(q):
+        if i is not None and i % 50 == 0:
+            scores = sorted((-int(x @ y), j is None, j or 0) for m, (j, y) in enumerate(q) if m != n and len(y) == len(x))[:5]
+            want += [(str(i), str(r + 1), str(None if null else j), str(-s)) for r, (s, null, j) in enumerate(scores)]
     assert got == sorted(want)
     assert topk.topk(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_topk_scores_are_exact_longs(spark):
+    big = [float(2**24 + i) for i in range(70)]
+    rows = [(0, big, 0, 1), (1, [c + 1 for c in big], 0, 1), (2, [-c for c in big], 0, 1), (3, [1e30] * 70, 0, 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank int")
+    got = {r["vec_id"]: r["score"] for r in topk.topk(d, k=5).collect()}
+    q = [[256 * int(c) for c in v] for _, v, *_ in rows]
+    want = {i: max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(q[0], q[i])))) for i in (1, 2, 3)}
+    assert got == want and want[1] > 2**53 and want[3] == 2**63 - 1
+
+
 def test_topk_levels_prune_without_loss():
     rng = np.random.RandomState(1)
     centres = np.floor(256 * rng.randn(30, 64))
     x = np.concatenate([c + np.floor(10 * rng.randn(100, 64)) for c in centres])
     s = topk.Search(np.arange(10), x[:10], 5)
     for i in range(0, len(x), 512):
-        s.offer(np.arange(i, min(i + 512, len(x))), x[i : i + 512])
+        at = np.arange(i, min(i + 512, len(x)))
+        s.offer(at, at, np.zeros(len(at), bool), x[i : i + 512])
     full = x[:10] @ x.T
     for i in range(10):
         full[i, i] = -np.inf
         order = np.lexsort((np.arange(len(x)), -full[i]))[:5]
-        assert s.vec[i].tolist() == order.tolist()
+        assert s.key[i].tolist() == order.tolist()
     assert s.exact < 10 * len(x) / 4

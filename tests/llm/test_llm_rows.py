@@ -60,6 +60,40 @@ def test_mixing(spark, monkeypatch):
     assert n == pytest.approx(sum(taken.values()), rel=0.08) and whole.columns == DOC.replace(" long", "").replace(" string", "").split(", ")
 
 
+CLASH = ["doc_id_", "d_id", "d_size", "size", "hash", "copies", "rows", "row", "times", "time", "__d", "__copies", "__nth", "c1", "bucket", "ids", "n_tokens", "round_trip", "score", "predicted", "chosen", "at", "TEXT", "Source"]
+
+
+def clashing(d):
+    """``d`` with columns of names that operators use themselves, or that differ in case only."""
+    for n, c in enumerate(CLASH):
+        d = d.toDF(*[f"k{i}" for i in range(len(d.columns))]).withColumn("new", F.lit(n)).toDF(*d.columns, c)
+    return d
+
+
+def test_mixed_documents_keep_columns_and_tell_nulls_apart(spark):
+    rows = [(-(1 << 62), "a b c", "en", "s"), (None, "a b c", "en", "s"), (1, "a b", "en", None), (1, "a b", "en", "\x00"), (2, None, "en", "s"), (3, "", "en", "s")]
+    rows += [(4, "x y z", "en", "s")] * 3 + [(5, "x y", "en", "s"), (5, "z y", "en", "s")]
+    rows += [(100 + i, "w " * 50, "en", "s") for i in range(20)]
+    d = docs_of(spark, rows)
+    got = mixing.mixed_documents(clashing(d))
+    assert got.columns == [*d.columns, *CLASH]
+    taken = collections.Counter()
+    for r in mixing.mix(d).collect():
+        taken[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    copies = collections.Counter()
+    for r in got.collect():
+        assert list(r[5:]) == list(range(len(CLASH))) and (r[0], r[1], r[2], r[3]) in rows
+        copies[r[0], r[3], len((r[1] or "").split())] += 1
+    assert not {2, 3} & {k[0] for k in copies}
+    each = collections.Counter((i, s, len((t or "").split())) for i, t, _, s in rows)
+    assert all(n <= 2 * each[k] for k, n in copies.items())
+    assert sum(n * k[2] for k, n in copies.items()) == pytest.approx(sum(taken.values()), rel=0.15)
+    assert mixing.mixed_documents(clashing(d).limit(0)).count() == 0
+    same = docs_of(spark, [(7, "a b c d", "en", "x")] * 300 + [(8, "a b c d", "en", "y")] * 300)
+    n = collections.Counter(r["source"] for r in mixing.mixed_documents(same).collect())
+    assert n["x"] == pytest.approx(600, rel=0.02) and n["y"] == pytest.approx(300, rel=0.2)
+
+
 @pytest.mark.parametrize("blocks", [16384, 64])
 def test_mixing_of_many_sources_is_exact(spark, blocks):
     rng = random.Random(3)
@@ -108,6 +142,7 @@ def test_sharding(spark):
     for r in got:
         by[r["shard"]] += r["bytes"]
     assert len(got) == 40 and max(by.values()) <= 2000
+    assert sharding.shard(clashing(same), 2000).count() == 40
     assert sharding.shard(same.limit(0), 10).count() == 0 and {r["shard"] for r in sharding.shard(same, 10**6).collect()} == {""}
 
 
@@ -134,36 +169,85 @@ def test_hosts_paths_and_rules(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_url_models_against_direct_counting():
-    texts, allow = ["a.com/x1", "b.com/yy", "zz.net/q", "zz.net/-"], [True, True, False, False]
-    counts = [collections.Counter(), collections.Counter()]
-    for t, a in zip(texts, allow):
-        _, cell = urls.grams([t])
-        counts[0 if a else 1].update(cell.tolist())
-    cells = np.array(sorted(counts[0] | counts[1]))
-    ratio = urls.ratio_table(cells, *(np.array([float(c[x]) for x in cells]) for c in counts))
-
-    def symbols(t):
-        return [31] * 3 + [int(urls._CODE[b]) for b in t.encode()]
-
-    def probability(c, context, x):
-        p = 1 / 32
-        for n in range(4):
-            ctx = tuple(context[3 - n :]) if n else ()
-            seen = collections.Counter()
-            for cell, k in c.items():
-                s = [cell // 32**j % 32 for j in (3, 2, 1, 0)]
-                if tuple(s[3 - n : 3]) == ctx:
-                    seen[s[3]] += k
+def direct_ratio(told, order=5, support=urls.SUPPORT):
+    """Scores by plain counting in dictionaries: told is [(text, allow)]."""
+    least = max(1, -(-sum(len(t.encode()) for t, _ in told) // support))
+    counts = [collections.defaultdict(collections.Counter) for _ in range(2)]
+    for t, allow in told:
+        raw = bytes(order) + t.encode()
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                counts[0 if allow else 1][raw[i - k : i]][raw[i]] += 1
+    both = collections.defaultdict(collections.Counter)
+    for c in counts:
+        for context, seen in c.items():
+            both[context] += seen
+
+    def probability(c, raw, i):
+        p = 1 / 256
+        for k in range(order + 1):
+            context = raw[i - k : i]
+            if sum(both[context].values()) < least:
+                break
+            seen = c[context]
             if seen:
-                p = (seen[x] + len(seen) * p) / (sum(seen.values()) + len(seen))
+                kept = {x: n for x, n in seen.items() if both[context][x] >= least}
+                rest = len(seen) + sum(seen.values()) - sum(kept.values())
+                p = (kept.get(raw[i], 0) + rest * p) / (sum(seen.values()) + len(seen))
         return p
 
-    for t in ["a.net/y", "q"]:
-        s = symbols(t)
-        want = np.mean([math.log(probability(counts[0], s[i - 3 : i], s[i]) / probability(counts[1], s[i - 3 : i], s[i])) for i in range(3, len(s))])
-        assert urls.scored([t], ratio)[0] == pytest.approx(want, abs=1e-4)
-    assert urls.scored([""], ratio)[0] == 0
+    def score(t):
+        raw = bytes(order) + t.encode()
+        at = range(order, len(raw))
+        return sum(math.log(probability(counts[0], raw, i) / probability(counts[1], raw, i)) for i in at) / max(1, len(at))
+
+    return score
+
+
+PAGE = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("support", [urls.SUPPORT, 400])
+def test_url_verdicts_match_direct_counting(spark, support):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé%_=7") for _ in range(rng.randrange(1, 7)))
+    found = [f"http://{word()}.com/{word()}/{word()}" for _ in range(150)] + [f"http://{word()}.net/fr/{word()}0" for _ in range(150)]
+    found += [f"https://{word()}.org/{word()}" for _ in range(60)] + [f"https://{word()}.org/fr/{word()}0" for _ in range(60)] + ["no scheme", "", "x://" + "y" * 5000]
+    rows = [(i, u, "") for i, u in enumerate(found)] + [(None, None, ""), (3, found[3], ""), (None, found[400], "")]
+    d = spark.createDataFrame(rows, PAGE).withColumnRenamed("html", "URL").withColumn("text", F.lit("x")).withColumn("by_rule", F.lit(1))
+    got = urls.filter_urls(d, support=support).collect()
+    assert len(got) == len(rows)
+    text = lambda r: r["host"] + r["path"]
+    held = lambda r: zlib.crc32(text(r).encode()) % 5 == 0
+    told = [(text(r), r["verdict"] == "allow") for r in got if r["rule"] and not held(r)]
+    score = direct_ratio(told, support=support)
+    for r in got:
+        assert r["score"] == pytest.approx(score(text(r)), abs=1e-9)
+    cal = [(r["score"], r["verdict"] == "allow") for r in got if r["rule"] and held(r)]
+    cuts = sorted((i / 4096 * 16 - 8 for i in range(4097)), key=abs)
+    at = lambda s: min(4095, max(0, int((s + 8) / 16 * 4096))) / 4096 * 16 - 8
+    rate = lambda c: sum(at(s) >= c for s, a in cal if a) / sum(a for _, a in cal) + sum(at(s) < c for s, a in cal if not a) / sum(not a for _, a in cal)
+    best = max(map(rate, cuts))
+    cut = next(c for c in cuts if rate(c) >= best - 1e-12)
+    assert [r["verdict"] for r in got if not r["rule"]] == ["allow" if r["score"] >= cut else "block" for r in got if not r["rule"]]
+    assert len({r["verdict"] for r in got if not r["rule"]}) == 2
+
+
+def test_url_fallback_where_the_calibrating_part_lacks_a_class(spark):
+    def part(url):
+        return zlib.crc32(url.split("://")[1].encode()) % 5
+
+    com = [u for u in (f"http://h{i}.com/aa" for i in range(40)) if part(u)][:10]
+    net = [u for u in (f"http://h{i}.net/fr/b" for i in range(60)) if part(u)][:10]
+    held = [u for u in (f"http://x{i}.net/fr/b" for i in range(60)) if not part(u)][:3]
+    rows = [(i, u, "") for i, u in enumerate([*com, *net, *held, "http://h1.org/aa", "http://h1.org/fr/b"])]
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, PAGE)).collect()}
+    for k in (23, 24):
+        assert got[k]["verdict"] == ("allow" if got[k]["score"] >= 0 else "block")
+    assert got[23]["score"] > 0 > got[24]["score"]
+    for some, verdict in ((com, "allow"), (net, "block"), ([], "allow")):
+        d = spark.createDataFrame([(i, u, "") for i, u in enumerate([*some, "http://h1.org/aa", None])], PAGE)
+        assert {r["verdict"] for r in urls.filter_urls(d).collect()} == {verdict}
 
 
 def test_toxicity(spark):
@@ -190,6 +274,56 @@ def test_toxicity(spark):
     assert left.columns == d.columns and left.count() == sum(r["predicted"] == 0 for r in got)
 
 
+def plain_features(text, lexicon):
+    """The same features by a loop over tokens."""
+    text = text or ""
+    low = text.lower()
+    tokens = toxicity._TOKEN.findall(low)
+    n, size = max(1, len(tokens)), max(1, len(text.encode()))
+    found = {}
+    for i, w in enumerate(tokens):
+        for k, entry in enumerate([w, *(w[:s] + "*" for s in toxicity.STEMS if len(w) > s)]):
+            if entry in lexicon:
+                found[i] = (k, entry)
+                break
+    words, stems = sum(k == 0 for k, _ in found.values()), sum(k > 0 for k, _ in found.values())
+    weight = sum(lexicon[e] for _, e in found.values())
+    person = [w in toxicity.SECOND_PERSON for w in tokens]
+    near = sum(any(person[max(0, i - 3) : i + 4]) for i in found)
+    obfuscated = len(toxicity.re.findall(r"(?<=[^\W\d_])(?:[@$*#0-9]+|[.\-_](?=[^\W\d_][.\-_]))[^\W\d_]", text))
+    repeated = sum(a == b == c and a.isalpha() for a, b, c in zip(low, low[1:], low[2:]))
+    share = lambda chars: sum(text.count(c) for c in chars) / size
+    return [
+        words / n, stems / n, len(found) / n, weight / n, words, stems, len({e for _, e in found.values()}), weight, near / n, sum(person) / n,
+        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!"), share("?"), share("!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"), obfuscated / n, repeated / n, share("0123456789"), size / n, math.log1p(n),
+    ]
+
+
+def test_features_match_a_plain_loop():
+    lexicon = {"bad": 2.0, "worse": 1.5, "evil*": 1.0, "badde*": 3.0, "tú": 1.0}
+    d = toxicity.Describer(lexicon)
+    texts = [None, "", "You BAD b4d b.a.d evilness badder baddest!!", "soooo bad 5a b$$d x1y2z tú—worse", "a\n" * 50 + "bad you", "é" * 4 + "1x", "b4" * 3000 + " evils"]
+    for t in texts * 2:
+        assert d.features(t) == pytest.approx(plain_features(t, lexicon))
+
+
+def test_toxicity_learns_from_a_bounded_number_of_rows(spark):
+    rows = [(i % 40, ("grult " if i % 40 < 10 else "plain ") + f"w{i % 7}", "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i < 10)) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    keep = toxicity.store
+    toxicity.store = lambda df, name: seen.append((name, out := keep(df, name))) or out
+    try:
+        got = toxicity.toxicity(clashing(docs_of(spark, rows)), labels, sample=50).collect()
+    finally:
+        toxicity.store = keep
+    assert len(got) == 400 and all(x.count() <= 50 for name, x in seen if name == "labelled")
+    long = docs_of(spark, [(1, "plain " * 100_000, "en", "s"), (2, "grult you " * 50_000, "en", "s"), (2, "grult you " * 50_000, "en", "s")])
+    assert len(toxicity.toxicity(long, labels).collect()) == 3
+    left = toxicity.reject_toxic(clashing(docs_of(spark, rows)), labels)
+    assert left.columns == [*DOC.replace(" long", "").replace(" string", "").split(", "), *CLASH] and left.count() <= 400
+
+
 def test_isotonic_is_monotone_and_least_squares():
     x, y = np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1])
     k, v = toxicity.isotonic(x, y)
@@ -214,21 +348,61 @@ def test_language_forward_sums_all_segmentations():
     words = ["ab", "abc", "cab", "zab", "b"]
     want = [[math.log(total("▁" + w, k)) for k in (0, 1)] for w in words]
     assert np.allclose(m.likelihood(words), want)
-    counts = np.array([[3.0, 0], [1, 2], [0, 1], [1, 1], [2, 2]])
-    got = m.expected(words, counts)
-    assert got.shape == p.shape and (got >= 0).all() and got[number["ab"], 0] > 0
+
+    def segmentations(s):
+        if not s:
+            yield []
+        for i in range(1, len(s) + 1):
+            if s[:i] in number or i == 1:
+                yield from ([s[:i], *rest] for rest in segmentations(s[i:]))
+
+    counts = np.array([3.0, 1, 0, 1, 2])
+    for k in (0, 1):
+        expected = collections.Counter()
+        for w, n in zip(words, counts):
+            ways = [(x, math.prod(p[number[y], k] if y in number else language.UNKNOWN for y in x)) for x in segmentations("▁" + w)]
+            for x, q in ways:
+                for y in x:
+                    expected[y] += n * q / sum(q for _, q in ways)
+        got = m.expected(words, counts, k)
+        assert got.shape == (v.size,) and all(got[i] == pytest.approx(expected[y]) for y, i in number.items())
+
+
+def test_language_sums_stay_finite_in_very_long_words():
+    v = language.Vocabulary(["▁a", "a", "b", "ab", "aba"])
+    p = np.full((v.size, 1), 1e-12)
+    m = language.Unigrams(v, ["x"], p)
+    word = "ab" * 2000
+    logs = [0.0]  # the same recursion in logarithms
+    for j in range(1, len(word) + 2):
+        s = ("▁" + word)[:j]
+        ways = [logs[j - k] + math.log(1e-12 if s[-k:] in ("▁a", "a", "b", "ab", "aba") else language.UNKNOWN) for k in range(1, min(3, j) + 1) if k == 1 or s[-k:] in ("▁a", "ab", "aba")]
+        logs.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+    assert m.likelihood([word])[0, 0] == pytest.approx(logs[-1])
+    got = m.expected([word], np.array([2.0]), 0)
+    length = {"▁a": 2, "a": 1, "b": 1, "ab": 2, "aba": 3}
+    number = {s: int(v.ids[np.searchsorted(v.keys, np.uint64(v._hash(s)))]) for s in length}
+    covered = sum(got[number[s]] * n for s, n in length.items())
+    assert covered == pytest.approx(2 * len(word), rel=1e-3) or covered == pytest.approx(2 * (len(word) + 1), rel=1e-3)
+
+
+def test_words_are_letters_and_marks():
+    assert language.words("² ½ ① Ⅷ 12_3 ٣") == [] and language.words("Don't x²y") == ["don", "t", "x", "y"]
+    assert language.words("हिन्दी ǅ é — “q”") == ["हिन्दी", "ǆ", "é", "q"] and language.words("́áb") == ["áb"]
+    assert language.words("x" * 5000) == ["x" * 5000] and language.words(None) == language.words("") == []
 
 
 def test_language(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     d = spark.read.parquet(f"{DATA}/documents.parquet")
-    more = docs_of(spark, [(9001, None, "en", "s"), (9002, "12 34 !!", "en", "s"), (None, "the and of", None, "s"), (9003, "x" * 5000, "en", "s")])
+    more = docs_of(spark, [(9001, None, "en", "s"), (9002, "12 34 !!", "en", "s"), (None, "the and of", None, "s"), (9003, "x" * 5000, "en", "s"), (9004, "² ½ ①", "en", "s"), (9005, "the of and " * 20000, "en", "s"), (9005, "the of and", "en", "s")])
+    d, more = (x.withColumnRenamed("source", "TEXT").withColumnRenamed("n_chars", "j") for x in (d, more))
     got = {r["doc_id"]: r for r in language.identify(d.unionByName(more), catalogue.PIECES).collect()}
-    assert len(got) == len(truth) + 4
+    assert len(got) == len(truth) + 6
     held = [i for i in truth if got[i]["held_out"]]
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held)
     assert np.mean([got[i]["lang_pred"] == truth[i] for i in held]) > 0.95
-    assert got[9001]["lang_pred"] == got[9002]["lang_pred"] == "und" and got[9001]["score"] == 0
+    assert got[9001]["lang_pred"] == got[9002]["lang_pred"] == got[9004]["lang_pred"] == "und" and got[9005]["lang_pred"] == "en" and got[9001]["score"] == 0
     assert got[9003]["lang_pred"] in set(truth.values()) and 0 <= got[9003]["score"] <= 1
     assert {r["lang_pred"] for r in language.identify(more.withColumn("lang", F.lit(None).cast("string")), catalogue.PIECES).collect()} == {"und"}
     assert language.identify(d.limit(0), catalogue.PIECES).count() == 0
@@ -273,6 +447,9 @@ def test_pieces_rows(spark):
     r = {x["doc_id"]: x for x in got.collect()}
     assert r[None]["ids"] is None and r[0]["n_tokens"] == 0 and all(len(x["ids"]) == x["n_tokens"] for x in r.values() if x["ids"] is not None)
     assert pieces.encode(d.limit(0), catalogue.PIECES).count() == 0
+    got = pieces.encode(clashing(d), catalogue.PIECES, ("doc_id", "ids", "size", "text"))
+    assert got.columns == ["doc_id", "size", "text", "ids", "n_tokens", "round_trip"]
+    assert {r["size"] for r in got.collect()} == {CLASH.index("size")} and got.filter("n_tokens <> size(ids)").count() == 0
 
 
 def test_pipeline_stages(spark):
@@ -292,6 +469,32 @@ def test_pipeline_stages(spark):
     assert docs.count() and docs.filter("not round_trip").count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    names = DOC.replace(" long", "").replace(" string", "").split(", ")
+    words = lambda n: " ".join(f"w{n}_{i}" for i in range(30))
+    rows = [(i, words(i), "en", f"s{i % 3}") for i in range(30)]
+    rows += [(40, None, "en", "s0"), (41, "", "en", None), (None, words(99), None, "s1"), (None, None, None, None), (3, words(3), "en", "s0"), (3, words(3), "en", "s0")]
+    rows += [(50, "x " * 60_000, "en", "s2"), (51, words(5) + "\n" + words(98), "en", "s2")]
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/full/labels.parquet")
+    spark.read.parquet(f"{tmp_path}/full/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    for at, given in (("full", rows), ("none", [])):
+        d = docs_of(spark, given)
+        d.write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{at}")
+        assert out.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"]
+        assert out.filter("not round_trip").count() == 0 and (out.count() > 20 if given else out.count() == 0)
+        d = clashing(d)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = corpus_pipeline.store(stage(spark, d, f"{tmp_path}/{at}"), "stage")
+            assert d.columns == [*names, *CLASH]
+            assert all(list(r[5:]) == list(range(len(CLASH))) for r in d.collect())
+        texts = [r[1] for r in d.collect()]
+        if given:
+            assert words(98) in "\n".join(texts) and sum(words(5) in t for t in texts) <= 2
+
+
 def test_registered():
     import __spark_entry__ as e
 
