@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog import config, model
-from tidelog.engine import Engine
+from tidelog.engine import Engine, RateLimited
 from tidelog.functions import codec, hashing, text
 from tidelog.functions.lru import Lru
 from tidelog.operators import integrity, lsm, scans, sketches
@@ -277,19 +277,240 @@ def test_engine(spark, tmp_path):
     assert all(e.allow() for _ in range(10)) and not e.allow()
 
 
-def test_stream_to_runs(spark, tmp_path):
-    path = str(tmp_path / "log")
-    source.append(log_of(spark, [("a", "1"), ("b", "1"), ("a", None)]), path)
-    runs = lsm.RunStore(spark, str(tmp_path / "runs"), config.Settings())
-    ingest.to_runs(source.stream(spark, path), runs, str(tmp_path / "cp")).awaitTermination(120)
-    assert state(snapshot.live(runs.log())) == {"b": "1"}
-    source.append(log_of(spark, [("x", "0")] * 3 + [("c", "2")]).filter("seq > 2"), path)
-    ingest.to_runs(source.stream(spark, path), runs, str(tmp_path / "cp")).awaitTermination(120)
-    assert state(snapshot.live(runs.log())) == {"b": "1", "c": "2"}
+def records(spark, rows):
+    """rows: (key, value or None, seq)."""
+    return spark.createDataFrame([(k, None if v is None else bytearray(v.encode()), v is None, 7, q) for k, v, q in rows], model.RECORD)
+
+
+def test_stream_to_runs_keeps_late_files(spark, tmp_path):
+    path, at = str(tmp_path / "log"), str(tmp_path / "cp")
+    runs = lsm.RunStore(spark, str(tmp_path / "runs"), config.from_json('{"tree": {"max_tables_per_level": 1, "max_levels": 3}}'))
+    parts = [[("a", "1", 1), ("b", "1", 2), ("x", None, 500)], [("c", "1", 3), ("x", "late", 4)], [("d", "1", 5), ("e", "1", 600), ("a", "2", 7)]]
+    for part in parts:
+        source.append(records(spark, part), path)
+        ingest.to_runs(source.stream(spark, path), runs, at).awaitTermination(120)
+    assert state(snapshot.live(runs.log())) == {"a": "2", "b": "1", "c": "1", "d": "1", "e": "1"}
+    (query,) = runs.batches()
+    assert runs.batches()[query] == 2
     with pytest.raises(ValueError):
         source.append(log_of(spark, [("", "1")]), path)
 
 
+def test_stream_to_runs_skips_a_replayed_batch(spark, tmp_path):
+    path, at = str(tmp_path / "log"), tmp_path / "cp"
+    runs = lsm.RunStore(spark, str(tmp_path / "runs"), config.Settings())
+    for part in ([("a", "1", 1)], [("b", "1", 2)]):
+        source.append(records(spark, part), path)
+        ingest.to_runs(source.stream(spark, path), runs, str(at)).awaitTermination(120)
+    for f in (at / "commits").glob("*1*"):  # as if the driver had died after the manifest, before the stream's own commit
+        f.unlink()
+    ingest.to_runs(source.stream(spark, path), runs, str(at)).awaitTermination(120)
+    assert runs.manifest().count() == 2 and state(runs.log()) == {"a": "1", "b": "1"}
+
+
+def stream_rows(spark, path, df, mode, name):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table(name)
+
+
+def test_streaming_aggregates(spark, tmp_path):
+    path, rng = str(tmp_path / "log"), random.Random(3)
+    ops = [(f"k{rng.randrange(20)}", None if rng.random() < 0.2 else str(i)) for i in range(120)]
+    log = log_of(spark, ops)
+    for i in range(0, 120, 40):
+        source.append(log.filter(F.col("seq").between(i, i + 39)), path)
+    stream = lambda: source.stream(spark, path, 1)
+    got = stream_rows(spark, tmp_path, ingest.latest(stream()), "complete", "latest").select("key", "value", "tombstone", "seq")
+    assert sorted(map(str, got.collect())) == sorted(map(str, snapshot.newest(log).select("key", "value", "tombstone", "seq").collect()))
+    pairs = [
+        (ingest.sketch_cells(stream(), "key", 50, 3), sketches.cms_cells(log, "key", 50, 3), "cells"),
+        (ingest.sketch_registers(stream(), "key", 6), sketches.hll_registers(log, "key", 6), "registers"),
+        (ingest.sketch_bits(stream(), "key", 100, 3).select("bit"), sketches.bloom_bits(log, "key", 100, 3), "bits"),
+    ]
+    for streamed, batch, name in pairs:
+        assert sorted(map(tuple, stream_rows(spark, tmp_path, streamed, "complete", name).collect())) == sorted(map(tuple, batch.collect()))
+    assert [r["seq"] for r in source.replay(spark, path, 100).collect()] == list(range(101, 120))
+    assert abs(sketches.native_distinct(log, "key").first()[0] - len({k for k, _ in ops})) <= 2
+
+
+def test_log_segments_go_below_the_watermark(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert source.low_watermark(spark, path) is None and source.retain(spark, path, 9) == 0
+    for part in ([("a", "1", 0), ("b", "1", 1)], [("c", "1", 2), ("d", "1", 9)], [("e", "1", 3)]):
+        source.append(records(spark, part).coalesce(1), path)
+    assert source.low_watermark(spark, path) == 0
+    assert source.retain(spark, path, 3) == 2  # a segment with a later record stays whole
+    assert keys(source.read(spark, path).orderBy("key")) == ["c", "d"] and source.low_watermark(spark, path) == 2
+
+
+def test_media_as_tagged_values(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.png").write_bytes(b"\x89PNG")
+    r = source.media(spark, str(tmp_path / "m"), text.FILE_TYPES["png"]).first()
+    assert bytes(r["value"]) == b"\x01\x89PNG" and r["key"].endswith("a.png") and r["timestamp"] > 0
+
+
+def test_buckets_of_null_and_of_large_numbers(spark, tmp_path):
+    b = config.Bucket(tokens=2, refill_amount=1, refill_seconds=100)
+    big = 2**60
+    rows = [(None, i, i) for i in range(4)] + [(big, i, 10 + i) for i in range(3)] + [(big + 1, 0, 20)]
+    d = spark.createDataFrame(rows, "b long, t long, o long")
+    want = sorted([("None", o, o < 2) for o in range(4)] + [(str(big), o, o < 12) for o in (10, 11, 12)] + [(str(big + 1), 20, True)])
+    for f in (buckets.decide, buckets.decide_large):
+        assert sorted((str(r["b"]), r["o"], r["allowed"]) for r in f(d, "b", "t", "o", b).collect()) == want
+    small = d.filter("b is null or b < 0").unionByName(spark.createDataFrame([(5, 0, 30), (5, 1, 31), (5, 2, 32)], "b long, t long, o long"))
+    for i in range(2):  # two files, so that state goes from batch to batch
+        small.filter(F.pmod("o", F.lit(2)) == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+    stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "r"))
+    got = stream_rows(spark, tmp_path, buckets.decide_stream(stream, "b", "t", "o", b), "append", "decided").collect()
+    assert sum(r["allowed"] for r in got if r["b"] is None) == 2 and sum(r["allowed"] for r in got if r["b"] == 5) == 2 and len(got) == 7
+
+
+def test_engine_flushes_at_capacity(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), config.from_json('{"memtable": {"capacity": 2}, "tree": {"max_memtables": 2}}'))
+    for i in range(9):
+        e.put(f"k{i}", b"v")
+    assert e.statistics()["runs"] == 2 and [r["key"] for r in e.items()] == [f"k{i}" for i in range(9)]
+    assert [r["key"] for r in e.runs.iterate(0)] == ["k0", "k1", "k2", "k3"] and len(source.segments(spark, f"{tmp_path}/log")) == 1
+    assert keys(e.runs.summary(0)) == ["k0"]
+
+
+def test_two_engines_keep_every_record(spark, tmp_path):
+    one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    one.put("a", b"1")
+    two.put("b", b"1")
+    two.put("a", b"2")
+    assert one.flush() == 0
+    one.put("c", b"1")
+    two.put("a", b"3")
+    assert one.get("a")["value"] == b"3" and two.prefix_scan("") == ["a", "b", "c"]
+    two.flush()
+    assert one.flush() is None and one.prefix_scan("") == ["a", "b", "c"] and Engine(spark, str(tmp_path)).get("a")["value"] == b"3"
+
+
+def test_engine_bucket_outlives_it(spark, tmp_path):
+    s = config.from_json('{"bucket": {"tokens": 2, "refill_seconds": 100000}}')
+    e = Engine(spark, str(tmp_path), s, limited=True)
+    e.put("a", b"1")
+    assert e.execute(e.get, "a")["value"] == b"1" and e.bucket_status()["tokens"] == 0
+    again = Engine(spark, str(tmp_path), s, limited=True)
+    for call in (lambda: again.put("b", b"1"), lambda: again.delete("a"), lambda: again.execute(again.get, "a")):
+        with pytest.raises(RateLimited):
+            call()
+    assert again.get("b") is None
+    again.reset_bucket()
+    assert again.bucket_status()["tokens"] == 2 and e.allow()
+
+
+def test_key_dictionary_stays(spark, tmp_path):
+    d = scans.KeyDictionary(spark, str(tmp_path / "d"))
+    assert d.id_of("a") is None and d.add(log_of(spark, [("b", "1"), ("a", "1"), ("b", "2")])) == 2
+    assert (d.id_of("b"), d.id_of("a"), d.key_of(2), d.key_of(3)) == (1, 2, "a", None)
+    again = scans.KeyDictionary(spark, str(tmp_path / "d"))
+    assert again.add(log_of(spark, [("c", "1"), ("a", "1")])) == 1 and again.add_key("c") == 3 and again.add_key("e") == 4
+    assert {r["key"]: r["key_id"] for r in again.encode(spark.createDataFrame([("a",), ("z",)], "key string")).collect()} == {"a": 2, "z": None}
+
+
+def test_named_sketches_know_their_sizes(spark, tmp_path):
+    r = sketches.Registry(spark, str(tmp_path))
+    items = spark.createDataFrame([("a",), ("a",), ("b",)], "x string")
+    probes = spark.createDataFrame([("a",), ("zz",)], "y string")
+    r.create("bloom", "s", items=100, rate=0.01)
+    r.create("cms", "s", epsilon=0.01, delta=0.01)
+    r.create("hll", "s", precision=10)
+    assert r.empty_registers("s") == 1024 and r.estimate("s") == 0 and r.sizes("bloom", "s")["m"] == 959
+    for kind in ("bloom", "cms", "hll"):
+        r.add_items(kind, "s", items, "x", part="first")
+        r.add_items(kind, "s", items, "x", part="first")  # a retry counts once
+        r.add_items(kind, "s", items, "x")
+        with pytest.raises(ValueError):
+            r.create(kind, "s", items=1, rate=0.1, epsilon=0.1, delta=0.1, precision=10)
+        with pytest.raises(KeyError):
+            r.add_items(kind, "none", items, "x")
+    assert {x["y"]: x["maybe"] for x in r.test("s", probes, "y").collect()} == {"a": True, "zz": False}
+    assert {x["y"]: x["estimate"] for x in r.count("s", probes, "y").collect()} == {"a": 4, "zz": 0}
+    assert round(r.estimate("s")) == 2 and r.empty_registers("s") == 1022
+    with pytest.raises(ValueError):
+        r.create("hll", "t", precision=3)
+    a = r.save_fingerprint("one", "hello world hello")
+    r.save_fingerprint("two", "apple banana apple apple")
+    assert a == "e3e1efd54283d94f7081314b599d31b3" and r.compare("one", "one") == {"distance": 0, "band": "Identical", "similarity": 100}
+    assert r.compare("one", "two") == sketches.compare_documents(spark, "hello world hello", "apple banana apple apple")
+    with pytest.raises(Exception, match="32 hex digits"):
+        sketches.compare(spark, a, a[:-1])
+    assert [x[0] for x in spark.createDataFrame([("0" * 32,), (a,)], "f string").select(hashing.is_zero(F.col("f"))).collect()] == [True, False]
+
+
+def test_fnv_and_simhash_of_batches():
+    def fnv(word):
+        h = 0x6C62272E07BB014262B821756295C58D
+        for c in word.encode():
+            h = (h ^ c) * ((1 << 88) + 0x13B) % 2**128
+        return h.to_bytes(16, "big")
+
+    rng = random.Random(1)
+    words = ["", "a", "ključ", "x" * 300, *("".join(chr(rng.randrange(32, 1000)) for _ in range(rng.randrange(20))) for _ in range(200))]
+    assert [bytes(h) for h in hashing.fnv128(words)] == [fnv(w) for w in words]
+    texts = [rng.choices(words, k=rng.randrange(30)) for _ in range(20)] + [None, []]
+    for t, got in zip(texts, hashing.simhashes(texts)):
+        if not t:
+            assert got == (None if t is None else "f" * 32)
+            continue
+        votes = [sum(1 if int.from_bytes(fnv(w), "big") >> (127 - i) & 1 else -1 for w in t) for i in range(128)]
+        assert got == f"{int(''.join('1' if v >= 0 else '0' for v in votes), 2):032x}"
+
+
+def test_positions_in_many_ranges(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(run, f"{rng.choice(['user_', 'üser_', ''])}{i}", rng.randrange(9)) for run in (1, 2) for i in rng.sample(range(10_000), 900)]
+    d = spark.createDataFrame(rows, "run_id long, key string, size long")
+    want = []
+    for run in (1, 2):
+        at = 0
+        for n, (_, k, z) in enumerate(sorted((r for r in rows if r[0] == run), key=lambda r: r[1].encode())):
+            want.append((run, k, n, at))
+            at += z
+    for size in (1 << 16, 50):
+        monkeypatch.setattr(lsm, "RANGE", size)
+        got = lsm.positions(d, "size")
+        assert sorted((r["run_id"], r["key"], r["position"], r["offset"]) for r in got.collect()) == sorted(want)
+    assert lsm.positions(d.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(run_id" in plan and "range" in plan
+
+
+def test_merkle_visits_and_bytes(spark):
+    leaf = integrity.leaves_of(spark.createDataFrame([(i, f"block{i + 1}") for i in range(5)], "i long, v string"), "i", "v")
+    other = leaf.filter("pos < 2").withColumn("run_id", F.lit(1).cast("long"))
+    nodes = integrity.tree(leaf.unionByName(other))
+    got = [(r["height"], r["pos"]) for r in integrity.depth_first(nodes).filter("run_id = 0").orderBy("number").collect()]
+    assert got == [(3, 0), (2, 0), (1, 0), (0, 0), (0, 1), (1, 1), (0, 2), (0, 3), (2, 1), (1, 2), (0, 4)]
+    assert [(r["height"], r["pos"]) for r in integrity.depth_first(nodes).filter("run_id = 1").orderBy("number").collect()] == [(1, 0), (0, 0), (0, 1)]
+    again = integrity.deserialised(integrity.serialised(nodes)).select(*nodes.columns)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, nodes.collect()))
+    assert (integrity.height(5), integrity.most_leaves(3), integrity.most_nodes(3)) == (3, 8, 15)
+
+
+def test_blocks_with_checksums(spark):
+    rng = random.Random(4)
+    raws = [rng.randbytes(n) for n in (0, 1, 60, 61, 500)]
+    d = spark.createDataFrame([(bytearray(r),) for r in raws], "raw binary").withColumn("blocks", codec.sealed(F.col("raw"), 64))
+    d = d.withColumn("back", codec.unsealed(F.col("blocks"), F.octet_length("raw")))
+    for r in d.withColumn("whole", F.forall("blocks", codec.intact)).collect():
+        raw = bytes(r["raw"])
+        parts = [raw[i : i + 60].ljust(60, b"\0") for i in range(0, len(raw), 60)]
+        assert [bytes(b) for b in r["blocks"]] == [zlib.crc32(p).to_bytes(4, "little") + p for p in parts] and bytes(r["back"]) == raw and r["whole"]
+    bad = spark.createDataFrame([(bytearray(b"\0" * 4 + b"ab"),), (bytearray(b"ab"),)], "b binary")
+    assert [r[0] for r in bad.select(codec.intact(F.col("b"))).collect()] == [False, False]
+    assert bad.limit(1).select(codec.intact(codec.resealed(F.col("b")))).first()[0]
+
+
+def test_file_types_of_values(spark):
+    d = spark.createDataFrame([("x", "PNG"), ("x", "md"), ("x", "exe"), ("x", "")], "v string, t string").select(text.tag_typed(F.col("v"), F.col("t")).alias("v"))
+    assert [tuple(r) for r in d.select(text.value_type(F.col("v")), text.value_kind(F.col("v")), text.untag_value(F.col("v"))).collect()] == [("png", "image", "x"), ("md", "document", "x"), ("", "text", "x"), ("", "text", "x")]
+
+
 def test_scan_plan_pushes_down(spark, tmp_path):
     source.append(log_of(spark, [("a", "1")]), str(tmp_path / "l"))
     plan = scans.prefix_scan(source.read(spark, str(tmp_path / "l")), "a")._jdf.queryExecution().executedPlan().toString()

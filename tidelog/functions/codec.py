@@ -91,3 +91,40 @@ def frame_kind(frame: Column) -> Column:
 def joined(parts: Column) -> Column:
     """The record of all its frames in order."""
     return F.aggregate(parts, F.lit(b""), lambda a, f: F.concat(a, F.substring(f, F.lit(HEAD + 1), F.octet_length(f) - HEAD)))
+
+
+def _checksum(part: Column) -> Column:
+    """CRC32 as 4 bytes, least first."""
+    h = F.lpad(F.hex(F.crc32(part)), 8, "0")
+    return F.unhex(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]))
+
+
+def sealed(raw: Column, block: int = 4096, crc: int = 4) -> Column:
+    """array<binary>: bytes as blocks, each its checksum and ``block - crc`` bytes;
+    zeros fill up the last. No bytes: no blocks."""
+    room = block - crc
+    n = F.ceil(F.octet_length(raw) / room).cast("int")
+
+    def one(i: Column) -> Column:
+        part = F.rpad(F.substring(raw, i * room + 1, F.lit(room)), room, b"\x00")
+        return F.concat(_checksum(part), part)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<binary>"))
+
+
+def intact(block: Column) -> Column:
+    """Whether a block's checksum is that of its bytes; one too short for it isn't."""
+    size = F.octet_length(block)
+    return F.when(size < 4, F.lit(False)).otherwise(F.substring(block, 1, 4) == _checksum(F.substring(block, F.lit(5), size - 4)))
+
+
+def resealed(block: Column) -> Column:
+    """The block with its checksum made anew: what repairs a block written in part."""
+    part = F.substring(block, F.lit(5), F.octet_length(block) - 4)
+    return F.concat(_checksum(part), part)
+
+
+def unsealed(blocks: Column, size: Column) -> Column:
+    """The first ``size`` bytes that the blocks hold, without checksums."""
+    whole = F.aggregate(blocks, F.lit(b""), lambda a, b: F.concat(a, F.substring(b, F.lit(5), F.octet_length(b) - 4)))
+    return F.substring(whole, F.lit(1), size)

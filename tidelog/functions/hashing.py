@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -36,31 +34,53 @@ def trailing_rank(h: Column) -> Column:
     return F.when(h == 0, F.lit(65)).otherwise(F.bit_count(h.bitwiseXOR(h - 1)))
 
 
-_OFFSET, _PRIME, _MASK = 0x6C62272E07BB014262B821756295C58D, (1 << 88) + 0x13B, (1 << 128) - 1
-
-
-@lru_cache(maxsize=1 << 17)
-def fnv128(word: str) -> bytes:
-    h = _OFFSET
-    for c in word.encode():
-        h = ((h ^ c) * _PRIME) & _MASK
-    return h.to_bytes(16, "big")
-
-
-def simhash_of(tokens) -> str:
-    """128-bit SimHash of weighted tokens as 32 hex digits; no tokens: all ones."""
-    words, n = np.unique(np.asarray(tokens, dtype=object), return_counts=True) if len(tokens) else ((), ())
-    if not len(words):
-        return "f" * 32
-    bits = np.unpackbits(np.frombuffer(b"".join(map(fnv128, words)), np.uint8).reshape(-1, 16), axis=1).astype(np.int64)
-    return np.packbits((n[:, None] * (2 * bits - 1)).sum(0) >= 0).tobytes().hex()
+# Offset and prime (2^88 + 0x13B) of the 128-bit FNV-1a hash.
+_OFFSET = 0x6C62272E07BB014262B821756295C58D
+_PRIME_SHIFT, _PRIME_LOW = 24, 0x13B  # the prime's bit in the upper half, and its lower half
+
+
+def fnv128(words: list[str]) -> np.ndarray:
+    """FNV-1a of each word as 16 bytes, a byte of all words at a time, in halves of 64 bits."""
+    raw = [w.encode() for w in words]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    high = np.full(len(raw), _OFFSET >> 64, np.uint64)
+    low = np.full(len(raw), _OFFSET & (1 << 64) - 1, np.uint64)
+    u, prime, mask = np.uint64, np.uint64(_PRIME_LOW), np.uint64(0xFFFFFFFF)
+    for i in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-size, -i, "left"))  # words longer than i come first
+        h, x = high[:n], low[:n] ^ data[start[:n] + i]
+        top = (x >> u(32)) * prime + ((x & mask) * prime >> u(32))  # x * prime beyond its lower 32 bits
+        high[:n] = h * prime + (x << u(_PRIME_SHIFT)) + (top >> u(32))
+        low[:n] = x * prime
+    out = np.empty((len(raw), 2), ">u8")
+    out[order, 0], out[order, 1] = high, low
+    return out.view(np.uint8).reshape(len(raw), 16)
+
+
+def simhashes(texts: list) -> list[str | None]:
+    """128-bit SimHash of each list of weighted tokens as 32 hex digits; no tokens:
+    all ones; null: null. A batch's distinct words are hashed once."""
+    kept = [t for t in texts if t is not None]
+    n = np.array([len(t) for t in kept], np.int64)
+    words: dict[str, int] = {}
+    at = np.array([words.setdefault(w, len(words)) for t in kept for w in t], np.int64)
+    votes = np.unpackbits(fnv128(list(words)), axis=1).astype(np.int64) * 2 - 1
+    ends, out = np.cumsum(n), []
+    for a, b in zip(ends - n, ends):
+        one, many = np.unique(at[a:b], return_counts=True)
+        out.append(np.packbits(many @ votes[one] >= 0).tobytes().hex())
+    found = iter(out)
+    return [None if t is None else next(found) for t in texts]
 
 
 def simhash(tokens: Column) -> Column:
-    """``simhash_of`` over Arrow batches; null tokens: null."""
+    """``simhashes`` over Arrow batches."""
 
     def prints(batch: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else simhash_of(t) for t in batch], dtype=object)
+        return pd.Series([x for i in range(0, len(batch), 512) for x in simhashes(batch.iloc[i : i + 512].tolist())], dtype=object)
 
     return F.pandas_udf(prints, "string")(tokens)
 
@@ -74,6 +94,17 @@ def hamming(a: Column, b: Column) -> Column:
     return sum((F.bit_count(half(a, k).bitwiseXOR(half(b, k))) for k in (0, 1)), F.lit(0)).cast("int")
 
 
+def fingerprint(text: Column) -> Column:
+    """32 hex digits read back as a fingerprint, lower-cased; an error for anything else."""
+    good = text.rlike("^[0-9A-Fa-f]{32}$")
+    return F.when(text.isNull() | good, F.lower(text)).otherwise(F.raise_error(F.lit("a fingerprint has 32 hex digits")).cast("string"))
+
+
+def is_zero(fingerprint: Column) -> Column:
+    return fingerprint == "0" * 32
+
+
+# Largest distance, name and percentage of each band.
 BANDS = ((0, "Identical", 100), (3, "Very Similar", 98), (6, "Similar", 90), (12, "Somewhat Similar", 75), (20, "Slightly Similar", 50), (30, "Different", 25))
 
 

@@ -34,9 +34,33 @@ def little_endian(n: Column) -> Column:
     return F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)])
 
 
+# The codes of stored files' types.
+FILE_TYPES = {
+    "": 0,
+    "png": 1, "jpg": 2, "jpeg": 3, "gif": 4, "bmp": 5, "webp": 6, "svg": 7,
+    "mp3": 10, "wav": 11, "ogg": 12,
+    "pdf": 20, "txt": 21, "md": 22,
+}
 VALUE_KINDS = {0: "text", **dict.fromkeys(range(1, 8), "image"), **dict.fromkeys(range(10, 13), "audio"), **dict.fromkeys(range(20, 23), "document")}
 
 
+def value_type(value: Column) -> Column:
+    """File type of a tagged value by its leading code; none for text, an unknown code or no value."""
+    code, out = F.ascii(F.substring(value, 1, 1)), F.lit("")
+    for name, k in FILE_TYPES.items():
+        if k:
+            out = F.when(code == k, name).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def tag_typed(value: Column, kind: Column) -> Column:
+    """A value tagged with a file type's code, whatever its case; unknown types count as text."""
+    code = F.lit(0)
+    for name, k in FILE_TYPES.items():
+        code = F.when(F.lower(kind) == name, k).otherwise(code)
+    return F.concat(F.char(code), value)
+
+
 def value_kind(value: Column) -> Column:
     """Kind of a tagged value by its leading type code."""
     code, out = F.ascii(F.substring(value, 1, 1)), F.lit(None).cast("string")

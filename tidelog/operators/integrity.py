@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec
+from tidelog.operators import lsm
 
 _ZERO = "0" * 32
 
@@ -17,8 +18,8 @@ def checksums(records: DataFrame) -> DataFrame:
 
 def leaves(runs: DataFrame) -> DataFrame:
     """(run_id, pos, hash): the MD5 of each record of a run in key order."""
-    pos = (F.row_number().over(Window.partitionBy("run_id").orderBy("key")) - 1).cast("long")
-    return runs.select("run_id", "key", pos.alias("pos"), F.md5(codec.plain()).alias("hash"))
+    hashed = runs.select("run_id", "key", F.md5(codec.plain()).alias("hash"))
+    return lsm.positions(hashed).select("run_id", "key", F.col("position").alias("pos"), "hash")
 
 
 def leaves_of(values: DataFrame, pos: str, value: str) -> DataFrame:
@@ -56,10 +57,43 @@ def tree(leaf: DataFrame) -> DataFrame:
     return out
 
 
+def depth_first(nodes: DataFrame) -> DataFrame:
+    """``tree``'s rows with ``number``, what to order a run by for a visit depth first,
+    left before right: the path from the root down, in binary digits. Rows that
+    only carry a run's root further up are left out."""
+    high = nodes.groupBy("run_id").agg(F.count_if(F.col("height") == 0).alias("n"))
+    top = F.ceil(F.log2("n")).cast("int")
+    d = nodes.join(high, "run_id").withColumn("top", F.when(F.col("n") > 1, top).otherwise(0)).filter("height <= top")
+    path = F.expr("if(top = height, '', lpad(bin(pos), top - height, '0'))")
+    return d.select("height", "run_id", "pos", "hash", path.alias("number"))
+
+
 def height(n: int) -> int:
     return max(0, (n - 1).bit_length())
 
 
+def most_leaves(height: int) -> int:
+    """Leaves that a tree of this height can hold."""
+    return 1 << height
+
+
+def most_nodes(height: int) -> int:
+    return (2 << height) - 1
+
+
+def serialised(nodes: DataFrame) -> DataFrame:
+    """(run_id, height, raw): each level of each run as the hashes of its nodes in
+    order, 16 bytes each; levels follow each other from the root to the leaves."""
+    at = F.array_sort(F.collect_list(F.struct("pos", "hash")))
+    return nodes.groupBy("run_id", "height").agg(F.unhex(F.concat_ws("", F.transform(at, lambda x: x["hash"]))).alias("raw"))
+
+
+def deserialised(raw: DataFrame) -> DataFrame:
+    """The rows of ``tree`` again."""
+    each = F.posexplode(F.expr("transform(sequence(0, octet_length(raw) div 16 - 1), i -> lower(hex(substring(raw, i * 16 + 1, 16))))"))
+    return raw.select("height", "run_id", each.alias("pos", "hash")).withColumn("pos", F.col("pos").cast("long"))
+
+
 def differing(stored: DataFrame, now: DataFrame) -> DataFrame:
     """Positions whose leaf hashes differ; a leaf missing on one side counts as zeros."""
     a = stored.select("run_id", "pos", F.col("hash").alias("stored"))
@@ -77,10 +111,6 @@ def check(stored: DataFrame, now: DataFrame) -> DataFrame:
 
 def locate(diff: DataFrame, records: DataFrame, block: int = 4096, crc: int = 4) -> DataFrame:
     """Block index of each differing record, from byte offsets in its run."""
-    from tidelog.operators.lsm import plain_size
-
-    before = Window.partitionBy("run_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    order = F.row_number().over(Window.partitionBy("run_id").orderBy("key")) - 1
-    at = records.withColumn("offset", F.coalesce(F.sum(plain_size()).over(before), F.lit(0))).withColumn("pos", order.cast("long"))
-    at = at.select("run_id", "pos", F.concat(F.lit("run="), "run_id").alias("file_path"), F.floor(F.col("offset") / (block - crc)).cast("long").alias("block_index"))
+    at = lsm.positions(records.select("run_id", "key", lsm.plain_size().alias("size")), "size")
+    at = at.select("run_id", F.col("position").alias("pos"), F.concat(F.lit("run="), "run_id").alias("file_path"), F.floor(F.col("offset") / (block - crc)).cast("long").alias("block_index"))
     return diff.join(at, ["run_id", "pos"]).select("run_id", "pos", F.struct("file_path", "block_index").alias("location"))

@@ -2,21 +2,25 @@
 
 Runs are Parquet directories sorted by key under ``root/run=<id>``; the
 manifest (level, run_id, pos, min_key, max_key, records, max_seq) says which of
-them count. A commit writes a new manifest version and only then deletes input
-runs, so a reader or a crash sees the old state or the new one.
+them count, and which batches of which sources they hold. A commit writes a new
+manifest version and only then deletes input runs, so a reader or a crash sees
+the old state or the new one, and a batch is in it once or not yet.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.config import Settings
 from tidelog.plans.snapshot import newest
 
 MANIFEST = "level int, run_id long, pos int, min_key string, max_key string, records long, tombstones long, max_seq long"
+#: Rows without a level say which batch of a source came last.
+_ENTRIES = MANIFEST + ", source string, batch long"
 
 
 # --- runs as columns of one log -------------------------------------------------
@@ -39,16 +43,51 @@ def boundaries(runs: DataFrame) -> DataFrame:
     )
 
 
+#: Keys a range of ``positions`` has, about, and ranges at most.
+RANGE, RANGES = 1 << 16, 4096
+
+
+def positions(runs: DataFrame, size: str | None = None) -> DataFrame:
+    """``runs`` (run_id, key, ...) with ``position``, the row's number in its run by
+    key, and with ``size`` also ``offset``, the sum of that column before it.
+
+    No task sorts a run: keys are cut into ranges at bounds drawn by hash, at
+    most ``RANGES``; rows are numbered within their range of their run, on top
+    of the rows (and sizes) of the ranges before, one row per range and run.
+    """
+    n = runs.count()
+    many = min(RANGES, -(-n // RANGE))
+    bounds = []
+    if many > 1:
+        drawn = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(max(1, n // (4 * many)))) == 0  # about 4 a range
+        found = sorted((r["key"] for r in runs.select("key").filter(drawn).distinct().limit(64 * RANGES).collect()), key=str.encode)
+        bounds = found[:: max(1, len(found) // many)]
+    where = F.lit(0)
+    if bounds:  # by bisection
+        steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
+        where = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(F.lit(bounds), at + step - 1) <= F.col("key")), at + step).otherwise(at))
+    d = runs.withColumn("range", where)
+    inside = Window.partitionBy("run_id", "range").orderBy("key")
+    before = Window.partitionBy("run_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("run_id", "range").agg(F.count(F.lit(1)).alias("n"), F.sum(size or F.lit(0)).alias("s"))
+    base = sums.select("run_id", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"base_{c}") for c in "ns"])
+    d = d.withColumn("position", F.row_number().over(inside) - 1)
+    if size:
+        d = d.withColumn("offset", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.join(base, ["run_id", "range"]).withColumn("position", (F.col("base_n") + F.col("position")).cast("long"))
+    if size:
+        d = d.withColumn("offset", F.col("base_s") + F.col("offset"))
+    return d.drop("range", "base_n", "base_s")
+
+
 def sparse_summary(runs: DataFrame, step: int) -> DataFrame:
     """Every ``step``-th key of each run, from the first."""
-    rn = F.row_number().over(Window.partitionBy("run_id").orderBy("key"))
-    return runs.withColumn("position", (rn - 1).cast("long")).filter(F.col("position") % step == 0).select("run_id", "position", "key")
+    return positions(runs.select("run_id", "key")).filter(F.col("position") % step == 0).select("run_id", "position", "key")
 
 
 def offsets(runs: DataFrame) -> DataFrame:
     """Byte offset of each record in its run's data component."""
-    before = Window.partitionBy("run_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("offset", F.coalesce(F.sum(plain_size()).over(before), F.lit(0))).select("run_id", "key", "offset")
+    return positions(runs.select("run_id", "key", plain_size().alias("size")), "size").select("run_id", "key", "offset")
 
 
 def lower_bound(runs: DataFrame, key: str) -> DataFrame:
@@ -121,6 +160,7 @@ class RunStore:
     spark: SparkSession
     root: str
     settings: Settings
+    _keep: bool = field(default=False, init=False)
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -133,11 +173,18 @@ class RunStore:
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return sorted(int(n[1:]) for n in names if n.startswith("v") and fs.exists(self._fs(f"{self.root}/manifest/{n}/_SUCCESS")[1]))
 
-    def manifest(self) -> DataFrame:
+    def _entries(self) -> DataFrame:
         versions = self._versions()
         if not versions:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{versions[-1]}")
+            return self.spark.createDataFrame([], _ENTRIES)
+        return self.spark.read.schema(_ENTRIES).parquet(f"{self.root}/manifest/v{versions[-1]}")
+
+    def manifest(self) -> DataFrame:
+        return self._entries().filter("level is not null").drop("source", "batch")
+
+    def batches(self) -> dict[str, int]:
+        """The last batch of each source that the runs hold."""
+        return {r["source"]: r["batch"] for r in self._entries().filter("level is null").collect()}
 
     def data_lost(self) -> bool:
         """Whether a run that the manifest names is missing."""
@@ -146,9 +193,13 @@ class RunStore:
     def has_data(self) -> bool:
         return bool(self._versions())
 
-    def _commit(self, rows: list[tuple]) -> None:
+    def _commit(self, rows: list[tuple], batches: dict[str, int] | None = None) -> None:
+        """A new version of the manifest; ``batches`` replaces what it says of sources."""
+        batches = self.batches() if batches is None else batches
         version = (self._versions() or [-1])[-1] + 1
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{self.root}/manifest/v{version}")
+        entries = [(*r, None, None) for r in rows] + [(*[None] * 8, source, n) for source, n in batches.items()]
+        # what a failed commit left of this version is no version
+        self.spark.createDataFrame(entries, _ENTRIES).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v{version}")
 
     def _rows(self) -> list[tuple]:
         return [tuple(r) for r in self.manifest().orderBy("level", "pos").collect()]
@@ -158,10 +209,13 @@ class RunStore:
 
     def write_run(self, records: DataFrame, run_id: int) -> tuple:
         """Sort by key over as many files as the data needs; row-group bounds and a
-        Bloom filter on the key then prune point reads and scans."""
+        Bloom filter on the key, of the configured rate, then prune point reads
+        and scans. A run without compression is written plainly."""
         path = f"{self.root}/run={run_id}"
         ordered = records.repartitionByRange("key").sortWithinPartitions("key")
-        ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        kind = "zstd" if self.settings.run.compression else "uncompressed"
+        w = ordered.write.mode("overwrite").option("compression", kind).option("parquet.bloom.filter.enabled#key", "true")
+        w.option("parquet.bloom.filter.fpp#key", str(self.settings.bloom.false_positive_rate)).parquet(path)
         r = boundaries(self.spark.read.schema(records.schema).parquet(path).withColumn("run_id", F.lit(run_id).cast("long"))).first()
         return (run_id, r["min_key"], r["max_key"], r["records"], r["tombstones"], r["max_seq"]) if r else (run_id, None, None, 0, 0, None)
 
@@ -174,16 +228,28 @@ class RunStore:
         ids = [r[1] for r in self._rows()]
         return self.read(*ids) if ids else None
 
-    def flush(self, memtable: DataFrame) -> int:
-        """A memtable becomes the newest run of level 0."""
+    def iterate(self, run_id: int) -> Iterator[Row]:
+        """All records of a run by key, on the driver one range of the run at a time."""
+        return self.read(run_id).orderBy("key").toLocalIterator()
+
+    def summary(self, run_id: int) -> DataFrame:
+        """Every key of a run that its sparse summary holds, by the configured step."""
+        return sparse_summary(self.read(run_id).withColumn("run_id", F.lit(run_id).cast("long")), self.settings.run.sparse_step)
+
+    def flush(self, memtable: DataFrame, batches: dict[str, int] | None = None, forget: set[str] | None = None) -> int:
+        """A memtable becomes the newest run of level 0; ``batches`` (source to its
+        last batch) are committed with it, sources to ``forget`` leave the manifest."""
         run = self.next_run()
         entry, rows = self.write_run(newest(memtable), run), self._rows()
         pos = max((r[2] for r in rows if r[0] == 0), default=-1) + 1
-        self._commit(rows + [(0, run, pos, *entry[1:])])
+        kept = {k: n for k, n in self.batches().items() if k not in (forget or ())}
+        self._commit(rows + [(0, run, pos, *entry[1:])], kept | (batches or {}))
         return run
 
-    def compact(self) -> None:
-        """Compaction by the configured strategy, level by level while one is too full."""
+    def compact(self, keep_tombstones: bool = False) -> None:
+        """Compaction by the configured strategy, level by level while one is too full.
+        ``keep_tombstones``: older versions may still arrive, so deletes stay."""
+        self._keep = keep_tombstones
         if self.settings.tree.compaction in ("level", "leveled"):
             self._leveled()
         else:
@@ -195,7 +261,7 @@ class RunStore:
         # what lies below the output: runs of deeper levels, and older runs of its own
         older = [r for r in rows if r[1] not in gone and (r[0] > level or r[0] == level and r[7] < top)]
         low, high = min(r[3] for r in old), max(r[4] for r in old)
-        bottom = not any(r[3] <= high and r[4] >= low for r in older)
+        bottom = not self._keep and not any(r[3] <= high and r[4] >= low for r in older)
         run = self.next_run()
         entry = self.write_run(compact(self.read(*sorted(gone)), bottom), run)
         kept = [r for r in rows if r[1] not in gone]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.plans.snapshot import live
+from tidelog.sources import files
 
 #: Page size and number that replace bad ones.
 PAGE_SIZE, PAGE = 5, 0
@@ -83,3 +84,45 @@ def key_dictionary(log: DataFrame) -> DataFrame:
     base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("part").orderBy("first_seq", "key"))
     return first.withColumn("i", inside).join(base, "part").select((F.col("base") + F.col("i")).cast("long").alias("id"), "key")
+
+
+class KeyDictionary:
+    """Numbers for keys that stay: a Parquet table (id, key) under ``path``.
+
+    Keys that are added get the next numbers in order of first arrival; a key
+    keeps its number. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def entries(self) -> DataFrame:
+        fs, p = files.at(self.spark, self.path)
+        return self.spark.read.schema("id long, key string").parquet(self.path) if fs.exists(p) else self.spark.createDataFrame([], "id long, key string")
+
+    def add(self, log: DataFrame) -> int:
+        """Add the keys of (key, seq) that have no number yet; returns how many."""
+        known = self.entries()
+        top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        new = key_dictionary(log.select("key", "seq").join(known.select("key"), "key", "left_anti"))
+        new.select((F.col("id") + top).alias("id"), "key").write.mode("append").parquet(self.path)
+        return self.entries().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] - top
+
+    def add_key(self, key: str) -> int:
+        """The key's number, a new one if it has none."""
+        if (known := self.id_of(key)) is None:
+            self.add(self.spark.createDataFrame([(key, 0)], "key string, seq long"))
+            known = self.id_of(key)
+        return known
+
+    def id_of(self, key: str) -> int | None:
+        r = self.entries().filter(F.col("key") == key).first()
+        return r["id"] if r else None
+
+    def key_of(self, number: int) -> str | None:
+        r = self.entries().filter(F.col("id") == number).first()
+        return r["key"] if r else None
+
+    def encode(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``key_id`` for their key; null where it has none."""
+        return rows.join(self.entries().withColumnRenamed("id", "key_id"), "key", "left")

@@ -7,12 +7,14 @@ cells by sum, registers by maximum. Seeds are 0 .. k-1.
 from __future__ import annotations
 
 import math
+import uuid
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import hashing, text
+from tidelog.sources import files
 
 
 def bloom_size(items: int, rate: float) -> tuple[int, int]:
@@ -155,7 +157,12 @@ def bands_of(pairs: DataFrame) -> DataFrame:
 
 
 class Registry:
-    """Named sketches below ``root``: create, add to, read, drop."""
+    """Named sketches below ``root``: create, add to, ask, drop.
+
+    A sketch keeps its own sizes, in a file beside its partial sketches. Each
+    partial sketch has an id; one that is added again under its id replaces
+    itself, so a retried count counts once.
+    """
 
     MERGE = {"bloom": (["bit"], None), "cms": (["row", "col"], ("cnt", F.sum)), "hll": (["bucket"], ("rank", F.max)), "simhash": (["name", "fingerprint"], None)}
 
@@ -163,28 +170,110 @@ class Registry:
         self.spark, self.root = spark, root
 
     def _path(self, kind: str, name: str) -> str:
+        if kind not in self.MERGE:
+            raise ValueError(f"unknown kind {kind}")
         return f"{self.root}/{kind}/{name}"
 
     def _parts(self, kind: str, name: str) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._path(kind, name))
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def add(self, kind: str, name: str, rows: DataFrame) -> None:
-        """Append a partial sketch; partial sketches merge when read."""
-        if kind not in self.MERGE:
-            raise ValueError(f"unknown kind {kind}")
-        rows.write.mode("append").parquet(self._path(kind, name))
+        fs, p = files.at(self.spark, self._path(kind, name))
+        return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+    def create(self, kind: str, name: str, **sizes: int | float) -> dict:
+        """A new sketch: ``items`` and ``rate`` for bloom, ``epsilon`` and ``delta`` for
+        cms, ``precision`` for hll. An error where the name is taken."""
+        if self.sizes(kind, name) is not None or self._parts(kind, name):
+            raise ValueError(f"there is a {kind} named {name}")
+        if kind == "bloom":
+            m, k = bloom_size(sizes["items"], sizes["rate"])
+            sizes |= {"m": m, "k": k}
+        elif kind == "cms":
+            m, k = cms_size(sizes["epsilon"], sizes["delta"])
+            sizes |= {"m": m, "k": k}
+        elif kind == "hll" and not 4 <= sizes["precision"] <= 16:
+            raise ValueError("precision must lie in 4..16")
+        files.write_json(self.spark, f"{self._path(kind, name)}/sizes.json", sizes)
+        return sizes
+
+    def sizes(self, kind: str, name: str) -> dict | None:
+        return files.read_json(self.spark, f"{self._path(kind, name)}/sizes.json")
+
+    def _known(self, kind: str, name: str) -> dict:
+        if (sizes := self.sizes(kind, name)) is None:
+            raise KeyError(f"no {kind} named {name}")
+        return sizes
+
+    def add(self, kind: str, name: str, rows: DataFrame, part: str | None = None) -> str:
+        """Add a partial sketch under an id, a new one if none is given; partial
+        sketches merge when read."""
+        part = part or uuid.uuid4().hex
+        rows.write.mode("overwrite").parquet(f"{self._path(kind, name)}/part={part}")
+        return part
+
+    def add_items(self, kind: str, name: str, items: DataFrame, column: str, part: str | None = None) -> str:
+        """Add the values of a column to a sketch that ``create`` made."""
+        z = self._known(kind, name)
+        if kind == "bloom":
+            rows = bloom_bits(items, column, z["m"], z["k"])
+        elif kind == "cms":
+            rows = cms_cells(items, column, z["m"], z["k"])
+        elif kind == "hll":
+            rows = hll_registers(items, column, z["precision"])
+        else:
+            raise ValueError(f"a {kind} takes no items")
+        return self.add(kind, name, rows, part)
 
     def load(self, kind: str, name: str) -> DataFrame:
-        if not self._parts(kind, name):
-            raise KeyError(f"no {kind} named {name}")
-        keys, value = self.MERGE[kind]
-        d = self.spark.read.parquet(self._path(kind, name))
+        keys, value = self.MERGE[kind] if kind in self.MERGE else self._path(kind, name)
+        parts = self._parts(kind, name)
+        if not parts:
+            if self.sizes(kind, name) is None:
+                raise KeyError(f"no {kind} named {name}")
+            return self.spark.createDataFrame([], ", ".join(f"{c} int" for c in keys) + (f", {value[0]} long" if value else ""))
+        d = self.spark.read.parquet(*parts)
         return d.groupBy(*keys).agg(value[1](value[0]).alias(value[0])) if value else d.select(*keys).distinct()
 
+    def test(self, name: str, probes: DataFrame, column: str) -> DataFrame:
+        """(column, maybe) of a bloom."""
+        z = self._known("bloom", name)
+        return bloom_test(self.load("bloom", name), probes, column, z["m"], z["k"])
+
+    def count(self, name: str, probes: DataFrame, column: str) -> DataFrame:
+        """(column, estimate) of a cms."""
+        z = self._known("cms", name)
+        return cms_query(self.load("cms", name), probes, column, z["m"], z["k"])
+
+    def estimate(self, name: str) -> float:
+        """Distinct values of an hll."""
+        return hll_estimate(self.load("hll", name), self._known("hll", name)["precision"]).first()["estimate"]
+
+    def empty_registers(self, name: str) -> int:
+        return (1 << self._known("hll", name)["precision"]) - self.load("hll", name).count()
+
+    def save_fingerprint(self, name: str, text: str) -> str:
+        """Keeps the fingerprint of a text under a name, and returns it."""
+        rows = fingerprints(self.spark.createDataFrame([(name, text)], "name string, text string"), "name")
+        self.add("simhash", name, rows, "one")
+        return self.fingerprint(name)
+
+    def fingerprint(self, name: str) -> str:
+        return self.load("simhash", name).select(hashing.fingerprint(F.col("fingerprint")).alias("f")).first()["f"]
+
+    def compare(self, a: str, b: str) -> dict:
+        """Distance, band and similarity of two kept fingerprints."""
+        return compare(self.spark, self.fingerprint(a), self.fingerprint(b))
+
     def drop(self, kind: str, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._path(kind, name))
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = files.at(self.spark, self._path(kind, name))
+        return fs.delete(p, True)
+
+
+def compare(spark: SparkSession, a: str, b: str) -> dict:
+    """Distance, band and similarity of two fingerprints; an error for other texts."""
+    d = spark.createDataFrame([(a, b)], "a string, b string").select(*[hashing.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    return bands_of(d.select(hashing.hamming(F.col("a"), F.col("b")).alias("distance"))).first().asDict()
+
+
+def compare_documents(spark: SparkSession, a: str, b: str) -> dict:
+    """The same of the fingerprints of two texts."""
+    rows = fingerprints(spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string"))
+    return compare(spark, *[r["fingerprint"] for r in rows.orderBy("doc_id").collect()])

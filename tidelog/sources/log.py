@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.model import RECORD
+from tidelog.sources import files
 
 
 def append(records: DataFrame, path: str) -> None:
@@ -28,9 +29,34 @@ def stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
     return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def retain(spark: SparkSession, path: str, low_watermark: int, target: str) -> None:
-    """Copy of the log without what has been flushed; the caller swaps the directories."""
-    read(spark, path).filter(F.col("seq") > low_watermark).write.mode("overwrite").parquet(target)
+def segments(spark: SparkSession, path: str) -> list[str]:
+    """The log's files, in name order."""
+    fs, p = files.at(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(x for s in fs.listStatus(p) if (x := s.getPath().toString()).endswith(".parquet") and not s.getPath().getName().startswith(("_", ".")))
+
+
+def low_watermark(spark: SparkSession, path: str) -> int | None:
+    """The smallest ``seq`` that the log still holds; none if it is empty."""
+    return read(spark, path).agg(F.min("seq")).first()[0] if segments(spark, path) else None
+
+
+def retain(spark: SparkSession, path: str, low_watermark: int) -> int:
+    """Delete the segments all of whose records are at or below ``low_watermark``,
+    that is flushed; returns how many. A segment with a later record stays whole."""
+    if not segments(spark, path):
+        return 0
+    top = read(spark, path).groupBy(F.input_file_name().alias("file")).agg(F.max("seq").alias("top"))
+    gone = {r["file"].rsplit("/", 1)[1] for r in top.filter(F.col("top") <= low_watermark).collect()}  # one row a file
+    return drop(spark, [f for f in segments(spark, path) if f.rsplit("/", 1)[1] in gone])
+
+
+def drop(spark: SparkSession, names: list[str]) -> int:
+    for name in names:
+        fs, p = files.at(spark, name)
+        fs.delete(p, False)
+    return len(names)
 
 
 def media(spark: SparkSession, path: str, code: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,24 +40,24 @@ def decide(requests: DataFrame, bucket: str, at: str, order: str, b: Bucket) ->
 
 def decide_large(requests: DataFrame, bucket: str, at: str, order: str, b: Bucket) -> DataFrame:
     """``decide`` for buckets of any size: rows arrive sorted and are folded batch by
-    batch, with one pair of numbers per bucket as state."""
+    batch, with one pair of numbers per bucket as state. A null bucket is one too."""
     kind = dict(requests.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who, state = object(), (0, b.tokens)
         for p in batches:
             out = []
-            for k, t in zip(p["b"], p["t"]):
+            for k, t in zip(p.column(0).to_pylist(), p.column(1).to_pylist()):
                 if k != who:
                     who, state = k, (t, b.tokens)
                 last, tokens, ok = step(*state, t, b)
                 state = (last, tokens)
                 out.append(ok)
-            yield pd.DataFrame({bucket: p["b"], order: p["o"], "allowed": out})
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), pa.array(out, pa.bool_())], names=[bucket, order, "allowed"])
 
     d = requests.select(F.col(bucket).alias("b"), F.col(at).cast("long").alias("t"), F.col(order).alias("o"))
     d = d.repartition("b").sortWithinPartitions("b", "t", "o")
-    return d.mapInPandas(run, f"`{bucket}` {kind[bucket]}, `{order}` {kind[order]}, allowed boolean")
+    return d.mapInArrow(run, f"`{bucket}` {kind[bucket]}, `{order}` {kind[order]}, allowed boolean")
 
 
 def decide_stream(requests: DataFrame, bucket: str, at: str, order: str, b: Bucket) -> DataFrame:

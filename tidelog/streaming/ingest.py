@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,19 +15,23 @@ from tidelog.operators.lsm import RunStore
 def to_runs(log: DataFrame, store: RunStore, checkpoint: str, compact: bool = True) -> StreamingQuery:
     """Every micro-batch is a memtable: its newest versions become a run of level 0.
 
-    A batch that is replayed after a failure is skipped when the manifest already
-    holds its last arrival, so each arrival is committed once.
+    The manifest version that adds the run also says which batch of this query it
+    was, so a batch that is replayed after a failure is skipped and every other
+    is kept, in whatever order of ``seq`` the files come. As older versions of
+    a key may still come, compaction keeps deletes.
     """
+    spark = log.sparkSession
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
+        query = "stream/" + json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        if number <= store.batches().get(query, -1):
+            return
         batch = batch.persist()
         try:
-            top = batch.agg(F.max("seq")).first()[0]
-            done = store.manifest().agg(F.max("max_seq")).first()[0]
-            if top is not None and (done is None or top > done):
-                store.flush(batch if done is None else batch.filter(F.col("seq") > done))
+            if not batch.isEmpty():
+                store.flush(batch, {query: number})
                 if compact:
-                    store.compact()
+                    store.compact(keep_tombstones=True)
         finally:
             batch.unpersist()
 
@@ -45,3 +51,10 @@ def sketch_cells(log: DataFrame, column: str, m: int, k: int) -> DataFrame:
 def sketch_registers(log: DataFrame, column: str, p: int) -> DataFrame:
     """HyperLogLog registers as a streaming aggregate: micro-batches merge by maximum."""
     return sketches.hll_registers(log, column, p)
+
+
+def sketch_bits(log: DataFrame, column: str, m: int, k: int) -> DataFrame:
+    """Bloom filter bits as a streaming aggregate: micro-batches merge by union. ``n``
+    says how often a bit was set."""
+    raw = log.select(F.col(column).cast("string").cast("binary").alias("raw"))
+    return sketches._bits(raw, m, k).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
