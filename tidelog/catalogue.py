@@ -370,12 +370,31 @@ def word_frequency(spark, sf_dir):
     return sketches.word_frequency(_table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query()
+# FNV-1a in halves of 64 bits, a byte at a time; a bit of a fingerprint is the sign of its words' votes
+_HALF = 1 << 64
+SIMHASH = f"""w as (select doc_id, unnest({TOKENS}) as word from documents),
+n as (select doc_id, word, count(*) as n from w group by all),
+b as (select word, list_transform(range(0, octet_length(encode(word))), lambda i: {{'h': 0::HUGEINT, 'l': ('0x' || substr(hex(encode(word)), 2 * i::BIGINT + 1, 2))::HUGEINT}}) as b from (select distinct word from n)),
+f as (select word, list_reduce(list_concat([{{'h': {0x6C62272E07BB0142}::HUGEINT, 'l': {0x62B821756295C58D}::HUGEINT}}], b), lambda s, x:
+  {{'h': (s.h * 315 + (xor(s.l, x.l) * 315) // {_HALF} + (xor(s.l, x.l) % {1 << 40}) * {1 << 24}) % {_HALF}, 'l': (xor(s.l, x.l) * 315) % {_HALF}}}) as f from b),
+v as (select doc_id, i, sum(case when (case when i < 64 then f.f.h else f.f.l end // (1::HUGEINT << (63 - i % 64))) % 2 = 1 then n else -n end) as v
+  from n join f using (word), (select unnest(range(0, 128))::INTEGER as i) group by doc_id, i),
+p as (select doc_id, lower(hex(unbin(string_agg(case when v >= 0 then '1' else '0' end, '' order by i)))) as fingerprint from v group by doc_id),
+fp as (select doc_id, case when text is not null then coalesce(fingerprint, repeat('f', 32)) end as fingerprint from documents left join p using (doc_id))"""
+
+
+@query(f"with {SIMHASH} select doc_id, fingerprint from fp")
 def simhash_fingerprint(spark, sf_dir):
     return sketches.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-@query()
+SIMILARITY = """case when distance = 0 then 'Identical' when distance <= 3 then 'Very Similar' when distance <= 6 then 'Similar' when distance <= 12 then 'Somewhat Similar' when distance <= 20 then 'Slightly Similar' when distance <= 30 then 'Different' else 'Very Different' end as band,
+case when distance = 0 then 100 when distance <= 3 then 98 when distance <= 6 then 90 when distance <= 12 then 75 when distance <= 20 then 50 when distance <= 30 then 25 else 5 end as similarity"""
+
+
+@query(f"""with {SIMHASH}, d as (select distinct fingerprint as f, ('0x' || substr(fingerprint, 1, 16))::UBIGINT as h, ('0x' || substr(fingerprint, 17))::UBIGINT as l from fp where fingerprint is not null),
+x as (select a.f as a, b.f as b, (bit_count(xor(a.h, b.h)) + bit_count(xor(a.l, b.l)))::INTEGER as distance from d a join d b on a.f < b.f)
+select a, b, distance, {SIMILARITY} from x where distance <= 7""")
 def simhash_pairs(spark, sf_dir):
     return sketches.bands_of(sketches.fingerprint_pairs(sketches.fingerprints(_table(spark, sf_dir, "documents"))))
 
@@ -383,8 +402,7 @@ def simhash_pairs(spark, sf_dir):
 @query("""with h as (select item_id, md5(text) as a, md5(text || '!') as b from benchmark),
 d as (select item_id, bit_count(xor(('0x' || substr(a, 1, 16))::UBIGINT, ('0x' || substr(b, 1, 16))::UBIGINT)) + bit_count(xor(('0x' || substr(a, 17, 16))::UBIGINT, ('0x' || substr(b, 17, 16))::UBIGINT)) - 45 as x from h),
 c as (select item_id, greatest(0, x)::INTEGER as distance from d)
-select item_id, distance, case when distance = 0 then 'Identical' when distance <= 3 then 'Very Similar' when distance <= 6 then 'Similar' when distance <= 12 then 'Somewhat Similar' when distance <= 20 then 'Slightly Similar' when distance <= 30 then 'Different' else 'Very Different' end as band,
-case when distance = 0 then 100 when distance <= 3 then 98 when distance <= 6 then 90 when distance <= 12 then 75 when distance <= 20 then 50 when distance <= 30 then 25 else 5 end as similarity from c""")
+select item_id, distance, """ + SIMILARITY + " from c")
 def similarity_band(spark, sf_dir):
     """Bands over distances spread by hashing; 45 bits less, so that all bands occur."""
     b = _table(spark, sf_dir, "benchmark")
@@ -442,7 +460,12 @@ def check_integrity(spark, sf_dir):
     return integrity.check(integrity.leaves(_runs(spark, sf_dir)), integrity.leaves(_damaged(spark, sf_dir)))
 
 
-@query()
+CRC = f"""tab as (select list(c order by i) as t from (select i, list_reduce(list_concat([i], repeat([0], 8)), lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from (select unnest(range(0, 256)) as i))),
+x as (select key, seq, hex({_record()}) as x from e),
+y as (select key, seq, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i::BIGINT + 1, 2))::BIGINT) as y from x)"""
+
+
+@query(f"with {E}, {CRC} select key, seq, xor(list_reduce(list_concat([4294967295], y), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) as crc from y, tab")
 def record_checksums(spark, sf_dir):
     return integrity.checksums(_events(spark, sf_dir))
 
