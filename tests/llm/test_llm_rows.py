@@ -495,6 +495,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             assert words(98) in "\n".join(texts) and sum(words(5) in t for t in texts) <= 2
 
 
+@pytest.mark.parametrize("name", catalogue.ORACLE)
+def test_matches_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got, want = catalogue.QUERIES[name](spark, DATA), c.sql(catalogue.ORACLE[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_registered():
     import __spark_entry__ as e
 

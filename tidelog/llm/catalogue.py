@@ -66,6 +66,21 @@ r as (select query_id, row_number() over (partition by n order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+OP8_SQL = """
+with recursive v as (select row_number() over () as n, vec_id, embedding::DOUBLE[] as x from embeddings),
+u as (
+  select n, x, sqrt(list_inner_product(x, x)) as norm from v
+  where len(x) > 0 and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and list_inner_product(x, x) > 0),
+l as (
+  select a.n as i, b.n as j from u a join u b on a.n <> b.n and len(a.x) = len(b.x)
+  where list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+r(n, m) as (select n, n from v union select r.n, l.j from r join l on r.m = l.i),
+c as (select r.n, min(v.vec_id) as component_id from r join v on v.n = r.m group by r.n),
+k as (select i as n, count(*) as n_links from l group by i)
+select v.vec_id, coalesce(k.n_links, 0)::BIGINT as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c using (n) left join k using (n)
+"""
+
 OP7_SQL = f"""
 with d as (
   select doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT as bytes,
@@ -94,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash": op10_minhash,
 }
-ORACLE: dict[str, str] = {"op2_topk": OP2_SQL, "op7_sharding": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_topk": OP2_SQL, "op7_sharding": OP7_SQL, "op8_embedding_near_dedup": OP8_SQL}
