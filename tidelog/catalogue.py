@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import model
-from tidelog.config import Bucket
+from tidelog.config import Bucket, Memtable, Settings, Tree
+from tidelog.engine import Engine
 from tidelog.functions import codec, hashing, text
 from tidelog.operators import integrity, lsm, scans, sketches
 from tidelog.plans import snapshot
-from tidelog.streaming import buckets
+from tidelog.sources import log as source
+from tidelog.streaming import buckets, ingest
 
 CAPACITY, MOST, STEP, AS_OF = 1000, 4, 10, 5000
 BLOOM = sketches.bloom_size(1000, 0.01)
@@ -486,3 +490,149 @@ def token_bucket_decisions(spark, sf_dir):
     """A bucket per user; large buckets are folded from sorted rows."""
     e = _table(spark, sf_dir, "events").select("user_id", "event_id", model.epoch_seconds(F.col("ts")).alias("t"))
     return buckets.decide_large(e, "user_id", "t", "event_id", BUCKET)
+
+
+# --- what is kept on disk --------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share; on this machine where none is set and
+    everything runs here."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{top.rstrip('/')}/tidelog-catalogue/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The events written to a store in four parts, flushed and compacted as it fills."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _ENGINES:
+        log = _events(spark, sf_dir)
+        n = log.count()
+        e = Engine(spark, _folder(spark), Settings(memtable=Memtable(capacity=max(1, n // 8)), tree=Tree(max_tables_per_level=1, max_memtables=1)))
+        for k in range(4):
+            since, until = n * k // 4, n * (k + 1) // 4
+            e.put_all(log.filter((F.col("seq") >= since) & (F.col("seq") < until)).select("key", "value", "tombstone", (F.col("seq") - since).alias("seq")))
+        _ENGINES[at] = e
+    return _ENGINES[at]
+
+
+def _as_text(d: DataFrame, *names: str) -> DataFrame:
+    return d.select("key", F.decode("value", "UTF-8").alias("value"), *names)
+
+
+@query(f"with {E} select key, value, seq from {_newest('e')} where not tombstone")
+def engine_snapshot(spark, sf_dir):
+    return _as_text(_engine(spark, sf_dir).snapshot(), "seq")
+
+
+@query(f"with {E} select key, value, tombstone as deleted from {_newest('e')} where not tombstone and key = 'user_000042'")
+def engine_get(spark, sf_dir):
+    return _as_text(scans.get(_engine(spark, sf_dir).log(), "user_000042"), "deleted")
+
+
+@query(f"with {E} select key from {_newest('e')} where not tombstone and starts_with(key, 'user_000') order by key limit 10 offset 20")
+def engine_prefix_scan(spark, sf_dir):
+    return scans.prefix_scan(_engine(spark, sf_dir).log(), "user_000", 10, 2)
+
+
+@query(f"with {E} select key from {_newest('e')} where not tombstone and key between 'user_000010' and 'user_000090' order by key limit 20")
+def engine_range_scan(spark, sf_dir):
+    return scans.range_scan(_engine(spark, sf_dir).log(), "user_000010", "user_000090", 20)
+
+
+@query(f"with {E} select key, value, seq from {_newest('e')} where not tombstone and starts_with(key, 'user_') and key > 'user_000077' order by key limit 1")
+def engine_prefix_iterate(spark, sf_dir):
+    return _as_text(scans.prefix_iterate(_engine(spark, sf_dir).log(), "user_", "user_000077"), "seq")
+
+
+@query("select false as data_lost, true as has_data, 0 as waiting, true as all_runs_pass")
+def engine_status(spark, sf_dir):
+    """Nothing is lost, and every run has the leaf hashes that it was sealed with."""
+    e = _engine(spark, sf_dir)
+    e.flush()
+    runs = [r["run_id"] for r in e.runs.manifest().select("run_id").collect()]
+    for r in runs:
+        e.seal(r)
+    row = (e.is_data_lost(), e.has_data(), len(e._waiting()), all(e.check(r)["passed"] for r in runs))
+    return spark.createDataFrame([row], "data_lost boolean, has_data boolean, waiting int, all_runs_pass boolean")
+
+
+@query(f"with {E} select key, value, tombstone, timestamp, seq from e where seq > {AS_OF // 10}")
+def wal_replay(spark, sf_dir):
+    at = _folder(spark)
+    source.append(_events(spark, sf_dir), at)
+    return _as_text(source.replay(spark, at, AS_OF // 10), "tombstone", "timestamp", "seq")
+
+
+@query(f"with {E} select key, value, timestamp, seq from {_newest('e')} where not tombstone")
+def stream_to_runs(spark, sf_dir):
+    """Events that come as a stream of files in an order other than that of ``seq``."""
+    at, log = _folder(spark), _events(spark, sf_dir)
+    for k in (2, 0, 1):
+        source.append(log.filter(F.pmod("seq", F.lit(3)) == k).coalesce(1), f"{at}/log")
+    runs = lsm.RunStore(spark, f"{at}/runs", Settings(tree=Tree(max_tables_per_level=1)))
+    ingest.to_runs(source.stream(spark, f"{at}/log", 1), runs, f"{at}/checkpoint").awaitTermination()
+    return _as_text(snapshot.live(runs.log()), "timestamp", "seq")
+
+
+def _halves(d: DataFrame, column: str) -> list[DataFrame]:
+    return [d.filter(F.pmod(F.xxhash64(column), F.lit(2)) == k) for k in (0, 1)]
+
+
+@query(ORACLE["cms_query"])
+def cms_named(spark, sf_dir):
+    r = sketches.Registry(spark, _folder(spark))
+    r.create("cms", "users", epsilon=0.01, delta=0.01)
+    for part in _halves(_table(spark, sf_dir, "events"), "event_id"):
+        r.add_items("cms", "users", part, "user_id")
+    return r.count("users", _table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query(ORACLE["bloom_test"])
+def bloom_named(spark, sf_dir):
+    r = sketches.Registry(spark, _folder(spark))
+    r.create("bloom", "users", items=1000, rate=0.01)
+    for part in _halves(_events(spark, sf_dir), "seq"):
+        r.add_items("bloom", "users", part, "key")
+    probes = _table(spark, sf_dir, "orders").select(F.concat(F.lit("user_"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("key"))
+    return r.test("users", probes, "key")
+
+
+@query(ORACLE["hll_estimate"])
+def hll_named(spark, sf_dir):
+    r = sketches.Registry(spark, _folder(spark))
+    r.create("hll", "users", precision=PRECISION)
+    for part in _halves(_table(spark, sf_dir, "events"), "event_id"):
+        r.add_items("hll", "users", part, "user_id")
+    return spark.createDataFrame([(r.estimate("users"),)], "estimate double").select(F.round("estimate", 6).alias("estimate"))
+
+
+@query(ORACLE["kv_key_dictionary"])
+def key_dictionary_kept(spark, sf_dir):
+    """Numbers given in two parts; the second keeps what the first gave."""
+    d, log = scans.KeyDictionary(spark, _folder(spark)), _events(spark, sf_dir)
+    for part in (log.filter(F.col("seq") < 500), log):
+        d.add(part)
+    return d.entries()
+
+
+@query(f"with recursive {E}, {RUNS}, {LEAVES}, {TREE} select height, run_id, pos, hash from t")
+def merkle_tree(spark, sf_dir):
+    nodes = integrity.tree(integrity.leaves(_runs(spark, sf_dir)))
+    return integrity.depth_first(integrity.deserialised(integrity.serialised(nodes))).select("height", "run_id", "pos", "hash")
+
+
+@query("select doc_id, ceil(octet_length(encode(text)) / 4092.0)::BIGINT as blocks, true as intact, md5(text) as hash from documents where text is not null")
+def blocks_sealed(spark, sf_dir):
+    """Texts as blocks with checksums, checked and read back."""
+    d = _table(spark, sf_dir, "documents").filter("text is not null").withColumn("raw", F.col("text").cast("binary"))
+    d = d.withColumn("b", codec.sealed(F.col("raw")))
+    back = F.md5(codec.unsealed(F.col("b"), F.octet_length("raw")))
+    return d.select("doc_id", F.size("b").cast("long").alias("blocks"), F.forall("b", codec.intact).alias("intact"), back.alias("hash"))
