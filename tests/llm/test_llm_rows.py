@@ -63,9 +63,9 @@ def test_mixing(spark, monkeypatch):
 CLASH = ["doc_id_", "d_id", "d_size", "size", "hash", "copies", "rows", "row", "times", "time", "__d", "__copies", "__nth", "c1", "bucket", "ids", "n_tokens", "round_trip", "score", "predicted", "chosen", "at", "TEXT", "Source"]
 
 
-def clashing(d):
+def clashing(d, names=CLASH):
     """``d`` with columns of names that operators use themselves, or that differ in case only."""
-    for n, c in enumerate(CLASH):
+    for n, c in enumerate(names):
         d = d.toDF(*[f"k{i}" for i in range(len(d.columns))]).withColumn("new", F.lit(n)).toDF(*d.columns, c)
     return d
 
@@ -396,8 +396,7 @@ def test_language(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     more = docs_of(spark, [(9001, None, "en", "s"), (9002, "12 34 !!", "en", "s"), (None, "the and of", None, "s"), (9003, "x" * 5000, "en", "s"), (9004, "² ½ ①", "en", "s"), (9005, "the of and " * 20000, "en", "s"), (9005, "the of and", "en", "s")])
-    d, more = (x.withColumnRenamed("source", "TEXT").withColumnRenamed("n_chars", "j") for x in (d, more))
-    got = {r["doc_id"]: r for r in language.identify(d.unionByName(more), catalogue.PIECES).collect()}
+    got = {r["doc_id"]: r for r in language.identify(d.unionByName(more).withColumnRenamed("source", "TEXT").withColumnRenamed("n_chars", "j"), catalogue.PIECES).collect()}
     assert len(got) == len(truth) + 6
     held = [i for i in truth if got[i]["held_out"]]
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held)
@@ -485,11 +484,11 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{at}")
         assert out.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"]
         assert out.filter("not round_trip").count() == 0 and (out.count() > 20 if given else out.count() == 0)
-        d = clashing(d)
+        d = clashing(d, CLASH[:-2])  # Parquet, between the stages, tells no names apart by case
         for name, stage in corpus_pipeline.STAGES[:-1]:
             d = corpus_pipeline.store(stage(spark, d, f"{tmp_path}/{at}"), "stage")
-            assert d.columns == [*names, *CLASH]
-            assert all(list(r[5:]) == list(range(len(CLASH))) for r in d.collect())
+            assert d.columns == [*names, *CLASH[:-2]]
+            assert all(list(r[5:]) == list(range(len(CLASH) - 2)) for r in d.collect())
         texts = [r[1] for r in d.collect()]
         if given:
             assert words(98) in "\n".join(texts) and sum(words(5) in t for t in texts) <= 2
