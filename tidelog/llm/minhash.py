@@ -171,7 +171,7 @@ def _sign(batches):
             seen.add(k)
         if len(seen) > SEEN:
             seen.clear()
-        new = pa.array(fresh)
+        new = pa.array(fresh, pa.bool_())
         old = b.filter(pc.invert(new))
         yield pa.RecordBatch.from_arrays([*old.columns[:3], pa.nulls(old.num_rows, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "keys"])
         b = b.filter(new)
