@@ -14,6 +14,8 @@ from tidelog.llm.common import discard, numbered, place, store
 _CUT = r"\n(?=[^\S\n]*\S)"
 _BLANK = " \t\r\n\f\x0b"
 HERE = ("k1", "k2", "pos")
+#: Bits that a rank takes: 33 for the row of a task, the others for the task.
+_RANK = 57
 
 
 def _sequences(docs: DataFrame) -> DataFrame:
@@ -67,10 +69,12 @@ def _longest(found: list[DataFrame]) -> DataFrame:
     2^k lines, so each question splits an interval by a second rank; it is put
     once for all suffixes of the interval that ask for the same m.
     """
-    members = reduce(DataFrame.unionByName, [f.withColumn("level", F.lit(k)) for k, f in enumerate(found)])
-    later = [f.filter(F.col("first") < F.struct(*HERE)).select(*HERE, F.lit(k).alias("level"), "rank") for k, f in enumerate(found)]
-    deepest = reduce(DataFrame.unionByName, later).groupBy(*HERE).agg(F.max(F.struct("level", "rank")).alias("d"))
-    state = store(deepest.select(*HERE, "d.level", "d.rank", F.expr("shiftleft(1, d.level)").alias("length")), "state")
+    whole = store(reduce(DataFrame.unionByName, [f.withColumn("level", F.lit(k)) for k, f in enumerate(found)]), "members")
+    discard(*found)
+    later = whole.filter(F.col("first") < F.struct(*HERE)).withColumn("both", F.expr(f"shiftleft(cast(level as bigint), {_RANK}) + rank"))
+    deepest = later.groupBy(*HERE).agg(F.max("both").alias("both")).withColumn("level", F.expr(f"cast(shiftright(both, {_RANK}) as int)"))
+    state = store(deepest.select(*HERE, "level", F.expr(f"both - shiftleft(cast(level as bigint), {_RANK})").alias("rank"), F.expr("shiftleft(1, level)").alias("length")), "state")
+    members = whole.select("level", "rank", *HERE)
     second = members.select("level", "k1", "k2", F.col("pos").alias("at"), F.col("rank").alias("rank2"))
     for j in range(len(found) - 2, -1, -1):
         asking = state.filter(F.col("level") > j).withColumn("m", F.col("length") + (1 << j))
@@ -83,6 +87,7 @@ def _longest(found: list[DataFrame]) -> DataFrame:
         grown = store(state.filter(F.col("level") <= j).unionByName(grown.select(*state.columns)), "state")
         discard(state, split)
         state = grown
+    discard(whole)
     return state.select(*HERE, "length")
 
 
@@ -100,7 +105,6 @@ def repeated_runs(lines: DataFrame, min_words: int = 1) -> DataFrame:
     runs = _longest(found).withColumn("until", F.col("pos") + F.col("length"))
     before = F.max("until").over(Window.partitionBy("k1", "k2").orderBy("pos").rangeBetween(-1, -1))
     runs = store(runs.withColumn("before", before).filter("before is null or before < until").select(*HERE, "length"), "runs")
-    discard(*found)
     if min_words > 1:  # else every run has enough
         upto = F.sum("words").over(Window.partitionBy("k1", "k2").orderBy("pos"))
         sums = lines.select(*HERE, (upto - F.col("words")).alias("since"), upto.alias("until"))
