@@ -14,7 +14,7 @@ from tidelog.llm.common import columns, components, store
 from tidelog.llm.vectors import lists, matrices, matrix
 
 #: Vectors a tree; at most so many pivots, in whose cells the trees stand; bytes
-#: of trees in a group, and groups at least (if there are so many trees).
+#: of trees in a group, about, and groups at least (of a tree's size or more).
 PER_TREE, PIVOTS, GROUP, GROUPS = 2048, 1024, 32 << 20, 8
 #: Nodes of so few vectors aren't split.
 LEAF = 16
@@ -263,14 +263,15 @@ def _place(pivots):
 
 
 def _plant(pivots, per_tree: int, per_group: int):
-    """Trees of at most ``per_tree`` rows of one cell each, from rows sorted by cell;
-    ``reach`` is how far a tree's rows are from the cell's pivot."""
+    """Trees of at most ``per_tree`` rows of one cell each, in groups of about
+    ``per_group`` rows, from rows sorted by cell; ``reach`` is how far a tree's
+    rows are from the cell's pivot."""
 
     def run(batches):
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, rows = TaskContext.get().partitionId(), 0, 0
 
         def trees(waiting, last: bool):
-            nonlocal made
+            nonlocal made, rows
             cell, node, weight, x = (np.concatenate(c) for c in zip(*waiting))
             edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
             for a, b in zip(edges, edges[1:]):
@@ -279,8 +280,8 @@ def _plant(pivots, per_tree: int, per_group: int):
                     if j == len(cell) and not last and j - i < per_tree:
                         return [(cell[i:], node[i:], weight[i:], x[i:])]
                     t, reach = CoverTree(node[i:j], weight[i:j], x[i:j]), float(_distance(pivots.value.x[[cell[i]]], x[i:j]).max())
-                    out.append((task << 32 | made, task << 16 | made // per_group, int(cell[i]), reach, pickle.dumps(t)))
-                    made += 1
+                    out.append((task << 32 | made, task << 16 | rows // (2 * per_group), int(cell[i]), reach, pickle.dumps(t)))  # a task gets about per_group rows
+                    made, rows = made + 1, rows + j - i
             return []
 
         waiting, out = [], []
@@ -331,8 +332,8 @@ def _linked(nodes: DataFrame, dim: int, n: int, threshold: float, per_tree: int)
     upper = CoverTree(np.arange(sample.num_rows), np.ones(sample.num_rows, np.int64), matrix(sample.column(0)))
     upper.ids = np.arange(sample.num_rows)  # cells are numbered in the tree's order, so near ones follow each other
     pivots = spark.sparkContext.broadcast(upper)
-    per_group = max(1, min(GROUP // (8 * dim * per_tree), -(-n // per_tree) // GROUPS))
-    parts = -(-n // (per_tree * per_group))
+    per_group = max(per_tree, min(GROUP // (8 * dim), -(-n // GROUPS)))
+    parts = -(-n // per_group)
     near = mine.mapInArrow(_place(pivots), "node long, weight long, x array<double>, cell int")
     near = near.repartitionByRange(parts, "cell", F.xxhash64("node")).sortWithinPartitions("cell").select("node", "weight", "x", "cell")
     trees = store(near.mapInArrow(_plant(pivots, per_tree, per_group), "tree long, grp long, cell long, reach double, body binary"), "trees")
