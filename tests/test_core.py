@@ -1,8 +1,10 @@
 """Expectations on record sets small enough to read."""
 
 import random
+import time
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,6 +100,43 @@ def test_bands_of_fingerprints_hold_every_near_pair(spark, monkeypatch, prints,
     assert got == {(f"{a:032x}", f"{b:032x}"): (a ^ b).bit_count() for a in every for b in every if a < b and (a ^ b).bit_count() <= 7}
 
 
+def near_pairs(prints, most=7):
+    return {(f"{a:032x}", f"{b:032x}"): (a ^ b).bit_count() for a in prints for b in prints if a < b and (a ^ b).bit_count() <= most}
+
+
+def test_pairs_of_close_fingerprints_come_in_time(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(128)
+    every = sorted({base ^ sum(1 << i for i in rng.sample(range(128), 4)) for _ in range(6000)})
+    d = spark.createDataFrame([(f"{p:032x}",) for p in every], "fingerprint string")
+    began = time.time()
+    got = sketches.fingerprint_pairs(d).groupBy("distance").count().collect()
+    assert time.time() - began < 45  # by bands alone, whose candidates' digits were read each time, minutes
+    raw = np.frombuffer(b"".join(p.to_bytes(16, "big") for p in every), ">u8").reshape(-1, 2).astype(np.uint64)
+    far = sum(np.bitwise_count(raw[:, None, k] ^ raw[None, :, k]) for k in (0, 1))
+    assert dict(map(tuple, got)) == {n: int((far == n).sum()) // 2 for n in range(1, 8) if (far == n).any()}
+
+
+@pytest.mark.parametrize("dense", [0, 1e18])
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_pairs_by_bands_and_by_blocks(spark, monkeypatch, dense, size):
+    monkeypatch.setattr(sketches, "_DENSE", dense)
+    monkeypatch.setattr(sketches, "_blocks", lambda n: F.ceil(n / size).cast("int"))
+    rng = random.Random(size)
+    base = [rng.getrandbits(128) for _ in range(2)]
+    every = sorted({b ^ sum(1 << i for i in rng.sample(range(128), n)) for b in base for n in (0, 1, 2, 3, 3, 4, 4, 4, 5, 7, 7, 8)})
+    d = spark.createDataFrame([(f"{p:032x}",) for p in [*every, every[0]]] + [(None,)], "fingerprint string")
+    got = [tuple(r) for r in sketches.fingerprint_pairs(d).select("a", "b", "distance").collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in near_pairs(every).items())
+    assert sketches.fingerprint_pairs(d.limit(0)).count() == 0
+
+
+def test_blocks_of_large_groups(spark):
+    sizes = {0: 1, 1: 1, 1024: 1, 1025: 2, 40_000: 32, 32 * 16384 + 1: 33, 10**7: 611}
+    d = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", sketches._blocks(F.col("n")))
+    assert dict(map(tuple, d.collect())) == sizes
+
+
 def test_codecs_round_trip(spark):
     log = log_of(spark, [("a", "x" * 9000), ("ključ", None), ("b", ""), ("c", "y" * 4033), ("d", "y" * 4050)])
     d = log.withColumn("raw", codec.plain()).withColumn("frames", codec.frames(F.col("raw"))).withColumn("short", codec.compressed(F.col("seq") + 1))
