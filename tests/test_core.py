@@ -100,6 +100,22 @@ def test_bands_of_fingerprints_hold_every_near_pair(spark, monkeypatch, prints,
     assert got == {(f"{a:032x}", f"{b:032x}"): (a ^ b).bit_count() for a in every for b in every if a < b and (a ^ b).bit_count() <= 7}
 
 
+def test_tokens_of_all_characters_in_time(spark):
+    ranges = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower("t"), "'", ""), "[^A-Za-z0-9_\\t\\n\\f\\r ]", ""), "[\\t\\n\\f\\r ]+"), lambda w: w != "")
+    points = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(f"a{c}b {c} " for c in points[i : i + 1000]) for i in range(0, len(points), 1000)] + ["", " ", None, "it's\tan_id\x0b x\u00a0y\u212a"]
+    d = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert d.select(text.tokens(F.col("t"))).collect() == d.select(ranges).collect()
+    many = spark.range(400).select(F.repeat(F.lit("Some words, not so many; of a text. "), 400).alias("t")).localCheckpoint()
+
+    def seconds(tokens):
+        began = time.time()
+        many.select(F.sum(F.size(tokens))).collect()
+        return time.time() - began
+
+    assert 3 * min(seconds(text.tokens(F.col("t"))) for _ in range(3)) < min(seconds(ranges) for _ in range(3))
+
+
 def near_pairs(prints, most=7):
     return {(f"{a:032x}", f"{b:032x}"): (a ^ b).bit_count() for a in prints for b in prints if a < b and (a ^ b).bit_count() <= most}
 
