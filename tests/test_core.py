@@ -148,7 +148,7 @@ def test_pairs_by_bands_and_by_blocks(spark, monkeypatch, dense, size):
 
 
 def test_blocks_of_large_groups(spark):
-    sizes = {0: 1, 1: 1, 1024: 1, 1025: 2, 40_000: 32, 32 * 2048 + 1: 33, 10**7: 4883}
+    sizes = {0: 1, 1: 1, 1024: 1, 1025: 2, 40_000: 32, 32 * 4096 + 1: 33, 10**7: 2442}
     d = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", sketches._blocks(F.col("n")))
     assert dict(map(tuple, d.collect())) == sizes
 
